@@ -32,8 +32,10 @@ BUCKETS = 512
 #: Scores from here on are kept.
 THRESHOLD = 0.5
 MEMO_WORDS = 500_000
-#: The heuristics are written for precision: a bad vote on a good text is this rare beforehand, with the weight of all texts.
+#: The heuristics are written for precision: a bad vote on a good text is this rare beforehand.
 FALSE_ALARM = 0.002
+#: Weight of that belief, in votes per text of the table.
+BELIEF = 50
 GOOD, BAD, NONE = 0, 1, 2
 
 _SYMBOLS = b"#$%&*!|<>{}[]\\^~=_+@"
@@ -113,7 +115,7 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
         weights = np.stack([good * counts, (1 - good) * counts])
         prior = (weights.sum(axis=1) + 1) / (counts.sum() + 2)
         table = np.einsum("cp,phv->hcv", weights, one_hot) + 0.5
-        table[:, 0] += counts.sum() * np.array([1 - FALSE_ALARM, FALSE_ALARM])
+        table[:, 0] += BELIEF * counts.sum() * np.array([1 - FALSE_ALARM, FALSE_ALARM])
         table /= table.sum(axis=2, keepdims=True)
         joint = np.log(prior)[:, None] + np.einsum("phv,hcv->cp", one_hot, np.log(table))
         now = 1 / (1 + np.exp(np.clip(joint[1] - joint[0], -500, 500)))
