@@ -1,11 +1,281 @@
-"""Queries over the shared tables, with their SQL."""
+"""Named queries over the shared tables, and the SQL that gives the same rows.
+
+Floating-point results are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.functions import timestamps
+from eventloom.functions.measures import min_max
+from eventloom.model import LOG_FEATURES, ROW_ID, EventLogSpec
+from eventloom.operators import classify, novelty, profile, reshape, scoring, screening, traces, validate
+from eventloom.plans import sql
+
+EVENTS = EventLogSpec("user_id", "event_type", "ts", ("event_id",))
+ORDERS = EventLogSpec("o_custkey", "o_orderstatus", "o_orderdate", ("o_orderkey",))
+LINEITEM = EventLogSpec(
+    "l_orderkey", "l_returnflag", "l_shipdate", ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+)
+CONVERSATIONS = EventLogSpec("conv_id", "role", None, ("turn",))
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def _log(spark: SparkSession, sf_dir: str, spec: EventLogSpec) -> DataFrame:
+    names = {EVENTS: "events", ORDERS: "orders", LINEITEM: "lineitem", CONVERSATIONS: "conversations"}
+    return read(spark, sf_dir, names[spec])
+
+
+def _statistics(spec: EventLogSpec) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(traces.log_statistics(_log(spark, sf_dir, spec), spec))
+
+
+def _validated(spec: EventLogSpec) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        features, share, _ = traces.validated_features(_log(spark, sf_dir, spec), spec)
+        return rounded(features.select(*LOG_FEATURES).withColumn("valid_share", F.lit(share)))
+
+    return run
+
+
+def variants_topk(spark, sf_dir):
+    log = traces.events(_log(spark, sf_dir, LINEITEM), LINEITEM)
+    return traces.variant_counts(log, by_time=False).orderBy(F.col("cases").desc(), "example").limit(10)
+
+
+def trace_lengths(spark, sf_dir):
+    shapes = traces.trace_shapes(traces.events(_log(spark, sf_dir, LINEITEM), LINEITEM))
+    return shapes.groupBy(F.col("n").alias("length"), F.col("n_acts").alias("activities")).agg(F.count("*").alias("cases"))
+
+
+def trace_per_case(spark, sf_dir):
+    return traces.traces(traces.events(_log(spark, sf_dir, ORDERS), ORDERS)).select("case", F.array_join("trace", ">").alias("trace"))
+
+
+def dfg_edges(spark, sf_dir):
+    return traces.dfg_edges(traces.events(_log(spark, sf_dir, EVENTS), EVENTS))
+
+
+def valid_trace_events(spark, sf_dir):
+    log = traces.events(_log(spark, sf_dir, LINEITEM), LINEITEM)
+    return traces.valid_events(log).groupBy("act").agg(F.count("*").alias("events"), F.count_distinct("case").alias("cases"))
+
+
+def dedup_case_ts(spark, sf_dir):
+    log = traces.events(_log(spark, sf_dir, ORDERS), ORDERS)
+    return traces.first_per_case_time(log).select("case", "act", F.unix_micros(F.col("time").cast("timestamp")).alias("micros"))
+
+
+def standard_log(spark, sf_dir):
+    log = traces.standard_log(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderdate")
+    return log.withColumn("time:timestamp", F.unix_micros(F.col("`time:timestamp`").cast("timestamp")))
+
+
+def sorted_log(spark, sf_dir):
+    text = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    text = text.withColumn("ts", F.when(F.col("event_id") % 10 == 3, F.lit("n/a")).otherwise(F.col("ts")))
+    return traces.sort_log(text, EVENTS).select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("micros"))
+
+
+def wide_events(spark, sf_dir) -> DataFrame:
+    """A wide table: a user a row, the first time of each kind of event."""
+    wide = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.min("ts"))
+    return wide.withColumn(ROW_ID, F.col("user_id"))
+
+
+def wide_to_long(spark, sf_dir):
+    long = reshape.wide_to_long(wide_events(spark, sf_dir), list(EVENT_TYPES), "user_id")
+    return long.select("case", "activity", F.unix_micros("timestamp").alias("micros"))
+
+
+def case_level_melt(spark, sf_dir):
+    long = reshape.melt_case_level(wide_events(spark, sf_dir), list(EVENT_TYPES))
+    return long.select("case", "activity", F.unix_micros("timestamp").alias("micros"))
+
+
+def interval_gate(spark, sf_dir):
+    return reshape.interval_figures(wide_events(spark, sf_dir), list(EVENT_TYPES))
+
+
+def table_type_fill_rates(spark, sf_dir):
+    return rounded(reshape.fill_rates(wide_events(spark, sf_dir), list(EVENT_TYPES)))
+
+
+def table_types(spark, sf_dir):
+    found = [(n, reshape.table_type(df)) for n, df in (("events", _keyed(spark, sf_dir, "events", "event_id")), ("wide", wide_events(spark, sf_dir)), ("nation", _keyed(spark, sf_dir, "nation", "n_nationkey")))]
+    return spark.createDataFrame(found, "table string, kind string")
+
+
+def primary_timestamp_scores(spark, sf_dir):
+    found = profile.column_profile(wide_events(spark, sf_dir), list(EVENT_TYPES))
+    return rounded(found.select("column", (F.col("n_unique") - 0.5 * (F.col("n_rows") - F.col("non_null"))).cast("double").alias("score")))
+
+
+def _keyed(spark, sf_dir, name: str, key: str) -> DataFrame:
+    return read(spark, sf_dir, name).withColumn(ROW_ID, F.col(key))
+
+
+PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def column_profile(spark, sf_dir):
+    return rounded(profile.column_profile(_keyed(spark, sf_dir, "orders", "o_orderkey"), PROFILED))
+
+
+def minmax_norm(spark, sf_dir):
+    found = profile.column_profile(_keyed(spark, sf_dir, "orders", "o_orderkey"), PROFILED)
+    return rounded(found.select("column", min_max(F.col("entropy")).alias("entropy_scaled"), min_max(F.col("max_freq")).alias("max_freq_scaled")))
+
+
+def heuristic_scores(spark, sf_dir):
+    features = profile.column_profile(_keyed(spark, sf_dir, "orders", "o_orderkey"), PROFILED).withColumn("sim", F.lit(0.0))
+    scores = scoring.heuristic_scores(features, scoring.Weights(case_sim=0.0, act_sim=0.0))
+    return rounded(scores.select("column", "case_score", "act_score"))
+
+
+def event_texts(spark, sf_dir) -> DataFrame:
+    """Columns of every kind as text: for the recognisers."""
+    e = read(spark, sf_dir, "events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    return e.select(
+        F.col("event_id").alias(ROW_ID),
+        F.col("event_type").alias("kind"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("changed"),
+        F.date_format("ts", "d/M/yyyy").alias("day_first"),
+        seconds.alias("unix_time"),
+        seconds.alias("phone"),
+        F.concat(F.col("event_id").cast("string"), F.lit(" days 02:03:04")).alias("duration"),
+        F.date_format("ts", "EEEE").alias("weekday"),
+        F.when(F.col("event_id") % 2 == 0, "1").otherwise("1.5").alias("amount"),
+        F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("sparse"),
+    )
+
+
+def recognisers(spark, sf_dir):
+    found = profile.sample_profile(profile.first_values(event_texts(spark, sf_dir), 50))
+    return rounded(found.select("column", "kinds", "duration_share", "datetime_share", "first_length", "dashes", "spaces"))
+
+
+def unix_ts_detect(spark, sf_dir):
+    e = event_texts(spark, sf_dir)
+    both = e.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("unix_time", "phone")))))
+    return both.groupBy("column").agg(F.count_if(timestamps.is_datetime(F.col("value"), F.col("column"))).alias("datetimes"))
+
+
+def field_screening(spark, sf_dir):
+    df = event_texts(spark, sf_dir)
+    profiles = screening.collect_profiles(df)
+    times = screening.timestamp_columns(df, profiles)
+    kept = screening.screen_fields(df, profiles, times)
+    return spark.createDataFrame([(c, c in times, c in kept) for c in profiles.whole], "column string, is_timestamp boolean, kept boolean")
+
+
+def duplicate_columns(spark, sf_dir):
+    df = _keyed(spark, sf_dir, "nation", "n_nationkey").withColumn("copy_of_key", F.col("n_nationkey").cast("string")).withColumn("other", F.col("n_regionkey") + 1)
+    found = screening.duplicate_columns(df)
+    return spark.createDataFrame(list(found.items()), "column string, same_as string")
+
+
+def ca_combinations(spark, sf_dir):
+    return spark.createDataFrame(scoring.case_activity_combinations(["a", "b", "c"], ["b", "c", "d"]), "case string, activity string")
+
+
+def offline_features(spark, sf_dir):
+    logs = read(spark, sf_dir, "orders").withColumn("file", F.col("o_custkey") % 10)
+    return rounded(traces.offline_features(logs, ORDERS, "file"))
+
+
+def _matrix_and_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Ten known logs from orders; three new ones from events."""
+    logs = traces.events(read(spark, sf_dir, "orders").withColumn("id", F.col("o_custkey") % 10), ORDERS, ("id",))
+    new = traces.events(read(spark, sf_dir, "events").withColumn("id", F.col("user_id") % 3), EVENTS, ("id",))
+    return traces.features_of(logs, ("id",)), traces.features_of(new, ("id",))
+
+
+def _detected(test: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(novelty.DETECTORS[test](*_matrix_and_points(spark, sf_dir)))
+
+
+def novelty_vote(spark, sf_dir):
+    matrix, points = _matrix_and_points(spark, sf_dir)
+    return novelty.vote(novelty.run_tests(matrix, points, ("lof", "dbscan")))
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias(ROW_ID), F.col("user_id").alias("case:concept:name"), F.col("event_type").alias("concept:name"), (F.col("event_id") % 7).alias("seventh"), (F.col("event_id") % 3).alias("third"))
+
+
+def feature_means_by_label(spark, sf_dir):
+    found = profile.column_profile(_labelled(spark, sf_dir))
+    label = F.when(F.col("column") == "case:concept:name", "case").when(F.col("column") == "concept:name", "activity").otherwise("irrelevant")
+    kept = ("n_unique_ratio", "max_freq", "entropy", "std_length")
+    return rounded(found.withColumn("label", label).groupBy("label").agg(*(F.avg(c).alias(c) for c in kept)))
+
+
+def similarity(spark, sf_dir):
+    found = profile.column_features(_keyed(spark, sf_dir, "nation", "n_nationkey"))
+    return rounded(found.select("column", "sim"))
+
+
+def column_classifiers(spark, sf_dir):
+    """Probabilities of a decision tree on the columns that it was trained on."""
+    logs = _labelled(spark, sf_dir)
+    features = classify.training_set([logs.where(F.col(ROW_ID) % 2 == i) for i in range(2)], screen=False)
+    found = classify.train_classifiers(features, "tree").score(features)
+    return found.groupBy("column").agg(F.round(F.avg("p_case"), 2).alias("p_case"), F.round(F.avg("p_activity"), 2).alias("p_activity"))
+
+
+def suggested_columns(spark, sf_dir):
+    found = scoring.suggest_columns(_keyed(spark, sf_dir, "events", "event_id"))
+    return spark.createDataFrame(found, "timestamp string, case string, activity string")
+
+
+def validated_log(spark, sf_dir):
+    ok, found = validate.validate_event_log(_keyed(spark, sf_dir, "orders", "o_orderkey"))
+    return spark.createDataFrame([(c["timestamp"], c["case"], c["activity"]) for c in found], "timestamp string, case string, activity string")
+
+
+def candidate_tables(spark, sf_dir):
+    rows = []
+    for name, df in (("events", _keyed(spark, sf_dir, "events", "event_id")), ("wide", wide_events(spark, sf_dir))):
+        rows += [(name, c.path, c.timestamp) for c in reshape.candidate_tables(df)]
+    return spark.createDataFrame(rows, "table string, path string, timestamp string")
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = {
+        "log_statistics_events": _statistics(EVENTS),
+        "log_statistics_orders": _statistics(ORDERS),
+        "log_statistics_lineitem": _statistics(LINEITEM),
+        "log_statistics_conversations": _statistics(CONVERSATIONS),
+        "ca_features_orders": _validated(ORDERS),
+        "ca_features_lineitem": _validated(LINEITEM),
+        "knn1_distance": _detected("dbscan"),
+        "lof_score": _detected("lof"),
+        "isolation_forest": _detected("isoforest"),
+        "one_class_machine": _detected("ocsvm"),
+    }
+    plain = [
+        variants_topk, trace_lengths, trace_per_case, dfg_edges, valid_trace_events, dedup_case_ts, standard_log, sorted_log, wide_to_long, case_level_melt,
+        interval_gate, table_type_fill_rates, table_types, primary_timestamp_scores, column_profile, minmax_norm, heuristic_scores, recognisers, unix_ts_detect,
+        field_screening, duplicate_columns, ca_combinations, offline_features, novelty_vote, feature_means_by_label, similarity, column_classifiers,
+        suggested_columns, validated_log, candidate_tables,
+    ]
+    return named | {f.__name__: f for f in plain}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return sql.oracles(EVENTS, ORDERS, LINEITEM, CONVERSATIONS)
