@@ -9,10 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, exact_dedup, language, near_dedup, quality, token_count
+from eventloom.llm import bpe, chat, decontaminate, exact_dedup, language, line_dedup, near_dedup, quality, secret_scan, token_count
 from eventloom.llm._base import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    parsed = chat.parse_transcripts(chat.transcripts(conversations), chat.learn(conversations))
+    roles = F.array_join(F.transform("turns", lambda t: t["role"]), ">")
+    return chat.rendered(parsed).select("conv_id", F.size("turns").cast("long").alias("n_turns"), roles.alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs))
@@ -30,6 +37,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_index", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs, F.col("doc_id").isNotNull() & ~language.held_out())
@@ -46,6 +58,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "windows", "reparameterised")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -65,10 +82,31 @@ from d
 """
 
 
+# The transcripts hold a marker for each turn, so that parsing gives the turns back.
+_OP1_SQL = """
+select conv_id, count(*) as n_turns, string_agg(role, '>' order by turn, role, text) as roles,
+       sha256(string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) order by turn, role, text)) as rendered_sha256
+from conversations group by conv_id, turn // 512
+"""
+
+_OP10_SQL = f"""
+with l as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents
+), b as (
+  select line from l where line <> '' group by line having count(distinct source) >= {line_dedup.SITES}
+), f as (
+  select l.doc_id, l.pos, l.line, b.line is not null as gone from l left join b on l.line = b.line
+)
+select doc_id, count(*) filter (where line <> '') as n_lines, count(*) filter (where gone) as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as text_sha256
+from f group by doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality, op3_token_counts, op4_bpe_codec, op5_minhash_near_dedup, op7_language, op8_exact_dedup, op9_decontamination, pipeline]
+    found = [op1_chat_format, op2_quality, op3_token_counts, op4_bpe_codec, op5_minhash_near_dedup, op6_secret_scan, op7_language, op8_exact_dedup, op9_decontamination, op10_line_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8_SQL}
+    return {"op1_chat_format": _OP1_SQL, "op8_exact_dedup": _OP8_SQL, "op10_line_dedup": _OP10_SQL}
