@@ -28,15 +28,12 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def prove_whole_tokens(tokenizer_json: str) -> frozenset[str]:
-    """Strings of the vocabulary which, merged alone, are exactly one token."""
+    """Strings of the vocabulary that, encoded alone, are exactly one token."""
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    model, special = tokenizer.model, {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    whole = set()
-    for string in tokenizer.get_vocab(with_added_tokens=False):
-        text = from_byte_level(string)
-        if text is not None and string not in special and len(model.tokenize(string)) == 1:
-            whole.add(text)
-    return frozenset(whole)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    texts = [t for s in tokenizer.get_vocab(with_added_tokens=False) if s not in special and (t := from_byte_level(s)) is not None]
+    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+    return frozenset(t for t, e in zip(texts, encoded) if len(e.ids) == 1)
 
 
 class _Counts(dict):
