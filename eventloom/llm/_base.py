@@ -35,11 +35,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of tables that :func:`written` made and that no later result reads."""
+    for df in frames:
+        if path := getattr(df, "scratch_path", None):
+            jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm, True)
 
 
 def worker_state(key: Any, build: Callable[[], Any]) -> Any:
-    """One object per Python worker and key, so that memos survive from task to task."""
+    """One object per Python worker, so that memos survive from task to task of one operator.
+
+    Another operator's object makes way, so that a worker never holds the memos of several.
+    """
     if key not in _WORKER_STATE:
+        _WORKER_STATE.clear()
         _WORKER_STATE[key] = build()
     return _WORKER_STATE[key]

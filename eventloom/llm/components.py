@@ -35,16 +35,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node reachable) for each node of the edges ``a, b`` (long).
+def alternation(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star of edges ``u, v`` (u > v); the components stay the same."""
+    return written(_small_star(_large_star(edges)).distinct(), "edges")
 
-    Self-loops and edges with a null end link nothing; a node in no other edge does not appear.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges from each node to the smallest of its component: alternations until nothing changes."""
     before = None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before or now[0] == 0:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.selectExpr("v", "v").distinct())
-        before = now
-        edges = written(_small_star(_large_star(edges)).distinct(), "edges")
+            return edges
+        before, edges = now, alternation(edges)
+
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """Edges ``a, b`` as ``u, v`` with u > v; self-loops and edges with a null end link nothing."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (smallest node reachable) for each node of the edges ``a, b`` (long).
+
+    A node without an edge to another one does not appear.
+    """
+    found = stars(written(oriented(edges), "edges"))
+    return found.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(found.select("v", "v").distinct())

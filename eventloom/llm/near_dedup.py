@@ -1,9 +1,9 @@
 """MinHash near-duplicate detection.
 
 A document's set holds the hashes of its distinct five-word shingles.  Documents with equal sets form a
-class at once.  Many universal hash functions give minima; bands of them name buckets, and a two-bit
-sketch of the minima together with the set sizes verifies candidates before the sets themselves are
-compared exactly.  Within a bucket, members are compared with pivots only: the member with the smallest
+class at once.  Many universal hash functions give minima; bands of them name buckets, and signatures
+verify candidates before the sets themselves are compared exactly: set sizes, a two-bit sketch of the
+minima, and a parity sketch of the whole set, whose differing bits are never more than differing shingles.  Within a bucket, members are compared with pivots only: the member with the smallest
 hash first, then rounds with more pivots each, until every member of an open bucket (one that still
 holds members of different components) has been a pivot.  So each candidate pair is tested unless its
 two ends are already connected, yet a large group of copies costs a few rows per member.  Components
@@ -28,15 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._base import worker_state, written
-from eventloom.llm.components import connected_components
+from eventloom.llm._base import discard, worker_state, written
+from eventloom.llm.components import oriented, stars
 
 WORDS = 5
 SKETCHED = 128
 #: Distinct words whose hashes a worker remembers before it starts afresh.
-MEMO_WORDS = 500_000
-#: Comparisons per member that one round may add beyond the first; a cheap test on sizes and sketches comes first.
-PER_ROUND = 64
+MEMO_WORDS = 200_000
+PARITY_BITS = 256
+#: Highest level of pivots of the first round; later rounds take as many levels as ``PER_ROUND`` cheap tests per member allow.
+FIRST_LEVEL = 2
+PER_ROUND = 1024
+SKETCH = ("s0", "s1", "s2", "s3", "o0", "o1", "o2", "o3")
 _BLOCK = 1024
 
 
@@ -95,7 +98,7 @@ class Shingler:
         return np.unique(_mix(total))
 
     def features(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket names (one per band, as int64) and the sketch (four int64)."""
+        """Bucket names (one per band, as int64) and the signature (eight int64, see ``SKETCH``)."""
         least = np.full(len(self.a), 2**64 - 1, np.uint64)
         for i in range(0, len(values), _BLOCK):
             table = np.multiply.outer(self.a, values[i : i + _BLOCK])
@@ -105,7 +108,8 @@ class Shingler:
         buckets = _mix((_mix(banded) * self.weights).sum(axis=1, dtype=np.uint64) + self.salt)
         two = (_mix(least[:SKETCHED]) >> np.uint64(62)).astype(np.uint8)
         planes = np.packbits(np.stack([two & 1, two >> 1]), axis=1)
-        return buckets.view(np.int64), planes.view(np.int64).ravel()
+        odd = np.packbits((np.bincount((values & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
+        return buckets.view(np.int64), np.concatenate([planes.view(np.int64).ravel(), odd.view(np.int64)])
 
 
 def _shingler(percent: int) -> Shingler:
@@ -117,7 +121,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def shingle_features(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, digest, n, buckets, s0..s3`` per row, in one pass; an empty set has null digest and no buckets."""
+    """``doc_id, digest, n, buckets`` and the signature per row, in one pass; an empty set has null digest and no buckets."""
 
     def run(batches):
         shingler = _shingler(percent)
@@ -134,14 +138,14 @@ def shingle_features(docs: DataFrame, percent: int) -> DataFrame:
                 else:
                     digests.append(None)
                     buckets.append(np.zeros(0, np.int64))
-                    sketches.append(np.zeros(4, np.int64))
-            cells = np.array(sketches, np.int64).reshape(-1, 4).T
+                    sketches.append(np.zeros(len(SKETCH), np.int64))
+            cells = np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), *(pa.array(c) for c in cells)],
-                ["doc_id", "digest", "n", "buckets", "s0", "s1", "s2", "s3"],
+                ["doc_id", "digest", "n", "buckets", *SKETCH],
             )
 
-    schema = "doc_id long, digest binary, n long, buckets array<long>, s0 long, s1 long, s2 long, s3 long"
+    schema = "doc_id long, digest binary, n long, buckets array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     return _rows(docs).mapInArrow(run, schema)
 
 
@@ -175,12 +179,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(features: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets with two classes at least: ``bucket, size, level, rep, n, s0..s3``.
+    """Members of buckets with two classes at least: ``bucket, size, level, rep, n`` and the signature.
 
     Level 0 is the member with the smallest hash; the others follow in levels of about 1, 2, 4, ... pivots.
     """
     own = features.join(classes, (features["doc_id"] == classes["rep"]) & (features["digest"] == classes["digest"]), "left_semi")
-    own = written(own.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", "s0", "s1", "s2", "s3", "buckets").withColumn("h", F.xxhash64("rep")), "classes")
+    own = written(own.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *SKETCH, "buckets").withColumn("h", F.xxhash64("rep")), "classes")
     dealt = own.select(F.explode("buckets").alias("bucket"), "rep", "h")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("h").alias("least")).where("size > 1")
     crowded = dealt.join(written(sizes, "buckets"), "bucket")
@@ -192,16 +196,23 @@ def _members(features: DataFrame, classes: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs of members of different components, one of them a pivot of levels low to high, that sizes and sketches allow."""
     member = members.where(F.col("level") >= low)
-    pivot = members.where(F.col("level").between(low, high)).select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("level", "rep", "component", "n", "s0", "s1", "s2", "s3")))
+    pivot = members.where(F.col("level").between(low, high)).select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("level", "rep", "component", "n", *SKETCH)))
     differing = "bit_count((s0 ^ p_s0) | (s2 ^ p_s2)) + bit_count((s1 ^ p_s1) | (s3 ^ p_s3))"
+    odd = " + ".join(f"bit_count(o{i} ^ p_o{i})" for i in range(4))
     allowed = F.expr(
         f"component <> p_component and (level > p_level or (level = p_level and rep < p_rep))"
-        f" and 100 * least(n, p_n) >= {percent} * greatest(n, p_n) and {differing} <= {sketch_limit(percent)}"
+        f" and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
+        f" and {100 + percent} * ({odd}) <= {100 - percent} * (n + p_n) and {differing} <= {sketch_limit(percent)}"
     )
     joined = member.join(pivot, [member["bucket"] == pivot["bucket"], allowed])
     return joined.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """``rep, component``: the smallest class that each linked class points at."""
+    return links.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -212,18 +223,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     features = written(shingle_features(docs, percent), "features")
     classes = written(features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     members = _members(features, classes)
-    sets = None
-    labels = edges = None
+    crowded = members
+    sets = links = current = pairs = None
     low, top = 0, members.agg(F.max("level")).first()[0]
     while top is not None and low <= top:
-        if labels is None:
+        if links is None:
             current = members.withColumn("component", F.col("rep"))
-            high = 0
+            high = FIRST_LEVEL
         else:
-            current = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            current = written(current, "labelled")
-            mixed = current.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
-            current = written(current.join(written(mixed.select("bucket"), "mixed"), "bucket", "left_semi"), "open")
+            before = current
+            labelled = members.join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            labelled = written(labelled, "labelled")
+            mixed = labelled.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+            mixed = written(mixed.select("bucket"), "mixed")
+            current = written(labelled.join(mixed, "bucket", "left_semi"), "open")
+            discard(before, labelled, mixed)
             rows = current.agg(F.count("*").alias("rows"), F.max("level").alias("top"), F.max("size").alias("size")).first()
             if not rows["rows"] or rows["top"] < low:
                 break
@@ -238,15 +252,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         pairs = written(_candidates(current, low, high, percent), "pairs")
         if sets is None:
             shared = members.select("rep").distinct()
-            sets = written(shingle_sets(docs.join(shared, docs["doc_id"] == shared["rep"], "left_semi"), percent), "sets")
-        new = confirmed(pairs, sets, percent)
-        edges = new if edges is None else edges.union(new)
-        edges = written(edges, "links")
-        labels = written(connected_components(edges), "labels")
+            # always a merge join: the ids grow with the documents, and the plan should be the same at every size
+            needed = docs.join(shared.hint("merge"), docs["doc_id"] == shared["rep"], "left_semi")
+            sets = written(shingle_sets(needed, percent), "sets")
+        new = written(oriented(confirmed(pairs, sets, percent)), "links")
+        links = stars(new if links is None else links.union(new))
+        discard(pairs)
         low = high + 1
+    discard(crowded, sets, current)
     rows = features.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes, "digest", "left")
-    if labels is not None:
-        rows = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if links is not None:
+        rows = rows.join(_labels(links), "rep", "left")
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
