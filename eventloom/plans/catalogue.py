@@ -244,7 +244,8 @@ def suggested_columns(spark, sf_dir):
 
 
 def validated_log(spark, sf_dir):
-    ok, found = validate.validate_event_log(_keyed(spark, sf_dir, "orders", "o_orderkey"))
+    orders = _keyed(spark, sf_dir, "orders", "o_orderkey").drop("o_orderkey", "o_totalprice")  # unique in each row, they would be the likeliest cases
+    _, found = validate.validate_event_log(orders)
     return spark.createDataFrame([(c["timestamp"], c["case"], c["activity"]) for c in found], "timestamp string, case string, activity string")
 
 

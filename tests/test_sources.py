@@ -37,6 +37,21 @@ def test_means_round_trip(spark, tmp_path):
     assert tables.read_means(spark, str(tmp_path / "m")).collect() == df.collect()
 
 
+def test_features_of_a_folder(spark, tmp_path):
+    from eventloom.operators.offline import features_from_folder
+
+    (tmp_path / "a.csv").write_text("case_id,activity,time:timestamp\n1,x,2020-01-02\n1,y,2020-01-01\n2,x,2020-01-01\n")
+    (tmp_path / "b.csv").write_text("Case_ID,concept:name\n1,x\n1,y\n1,x\n")
+    (tmp_path / "c.csv").write_text("nothing,known\n1,2\n")
+    got = {r["file"]: r for r in features_from_folder(spark, str(tmp_path), output=str(tmp_path / "out")).collect()}
+    assert set(got) == {"a.csv", "b.csv"}
+    assert got["a.csv"]["dfg_density"] == 0.25 and got["a.csv"]["valid_trace_percentage"] == 0.5 and got["b.csv"]["dfg_density"] is None
+    assert tables.read_training_matrix(spark, str(tmp_path / "out")).count() == 2
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        features_from_folder(spark, str(tmp_path / "none"))
+
+
 class FakeReply:
     def __init__(self, body=None, chunks=()):
         self.body, self.chunks = body, chunks
