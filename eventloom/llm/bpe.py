@@ -38,7 +38,7 @@ from eventloom.llm.pretokens import OUTSIDE_FAST, WORD_PIECES, byte_level
 LEAF_CHARS = 8192
 LEAF_SYMBOLS = 128
 #: Distinct short pieces that a worker remembers before it starts afresh.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 MEMO_PIECE_CHARS = 64
 THREADS = 2
 

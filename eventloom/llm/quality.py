@@ -31,7 +31,7 @@ SAMPLE = 4000
 BUCKETS = 512
 #: Scores from here on are kept.
 THRESHOLD = 0.5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 #: The heuristics are written for precision: a bad vote on a good text is this rare beforehand.
 FALSE_ALARM = 0.002
 #: Weight of that belief, in votes per text of the table.
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
                     vectors.append(vector(words, places).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["votes", "x"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     taken = sorted((tuple(r["votes"]), bytes(r["x"])) for r in drawn.mapInArrow(draw, "votes binary, x binary").collect())
     if not taken:
         return QualityModel(np.zeros(BUCKETS), math.log(prior / (1 - prior)), prior, table, posteriors)

@@ -20,7 +20,7 @@ from eventloom.llm._base import worker_state
 from eventloom.llm.pretokens import BYTE_PIECES, OUTSIDE_FAST, byte_level, from_byte_level
 
 #: Distinct merged pre-tokens that a worker remembers before it starts afresh.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 #: Longer pre-tokens are merged each time, so that the memo's size is bounded in bytes too.
 MEMO_PIECE_CHARS = 64
 
