@@ -8,7 +8,7 @@ An item is found in a document if the counting windows cover ``MIN_TOKENS`` toke
 windows of a shorter item.
 
 Defined results: null or empty texts and items match nothing; an item with fewer tokens than a window is
-one window of its own length; repeated rows are reported once per ``doc_id`` and text; a null
+one window of its own length, and documents are read in windows of that length too; repeated rows are reported once per ``doc_id`` and text; a null
 ``doc_id`` is reported as null; extra columns are ignored by :func:`find_items`.
 """
 
@@ -80,11 +80,11 @@ class Canoniser:
         kinds = np.where((flags & 2 > 0) & (before & 1 > 0), UNIT, kinds)
         return words, np.where(flags & 1 > 0, NUMBER, kinds), hashes
 
-    def windows(self, kinds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Starts and hashes of the windows that hold enough literals, and the tokens of each."""
-        n, size = len(kinds), min(self.window, len(kinds))
-        if not size:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    def windows(self, kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``size`` tokens that hold enough literals."""
+        n = len(kinds)
+        if not 0 < size <= n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         values = np.where(kinds == LITERAL, hashes, _CLASS[kinds])
         total = np.full(n - size + 1, size, np.uint64)
         for i in range(size):
@@ -92,48 +92,52 @@ class Canoniser:
         total = (total ^ (total >> np.uint64(29))) * _MIX
         literals = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
         starts = np.flatnonzero(literals[size:] - literals[: n - size + 1] >= min(MIN_LITERALS, size))
-        return starts, total[starts], size
+        return starts, total[starts]
 
 
 def _slots(words: list[str], kinds: np.ndarray, start: int, size: int) -> list[str]:
     return [words[start + i].strip(_EDGES).lower() for i in np.flatnonzero(kinds[start : start + size]).tolist()]
 
 
-_HITS = "key1 long, key2 long, start int, window long, slots array<string>"
+_HITS = "key1 long, key2 long, start int, window long, slots array<string>, size int"
 
 
-def _windows(rows: DataFrame, known=None) -> DataFrame:
-    """Windows of ``key1, key2, text`` rows, those in the broadcast sorted array ``known`` only if it is given."""
+def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> DataFrame:
+    """Windows of ``key1, key2, text`` rows, those in the broadcast sorted array ``known`` only if it is given.
+
+    They have ``sizes`` tokens; by default ``WINDOW``, or as many as a shorter text has.
+    """
 
     def run(batches):
         canoniser = worker_state("decontaminate", Canoniser)
         wanted = known.value if known else None
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
             for key1, key2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words, kinds, hashes = canoniser.tokens(text or "")
-                starts, found, size = canoniser.windows(kinds, hashes)
-                if wanted is not None:
-                    if len(wanted):
-                        at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                        hit = np.flatnonzero(wanted[at] == found)
-                    else:
-                        hit = np.zeros(0, np.int64)
-                    starts, found = starts[hit], found[hit]
-                for start, window in zip(starts.tolist(), found.view(np.int64).tolist()):
-                    for column, value in zip(out, (key1, key2, start, window, _slots(words, kinds, start, size))):
-                        column.append(value)
-                    if len(out[0]) >= 10_000:
-                        yield _hits(out)
-                        out = [[], [], [], [], []]
+                for size in sizes or [min(WINDOW, len(words))]:
+                    starts, found = canoniser.windows(kinds, hashes, size)
+                    if wanted is not None:
+                        if len(wanted):
+                            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                            hit = np.flatnonzero(wanted[at] == found)
+                        else:
+                            hit = np.zeros(0, np.int64)
+                        starts, found = starts[hit], found[hit]
+                    for start, window in zip(starts.tolist(), found.view(np.int64).tolist()):
+                        for column, value in zip(out, (key1, key2, start, window, _slots(words, kinds, start, size), size)):
+                            column.append(value)
+                        if len(out[0]) >= 10_000:
+                            yield _hits(out)
+                            out = [[] for _ in range(6)]
             yield _hits(out)
 
     return rows.mapInArrow(run, _HITS)
 
 
 def _hits(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,12 +150,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.selectExpr("cast(item_id as bigint) key1", "xxhash64(text) key2", "text").distinct()
     known = written(_windows(items).withColumnsRenamed({"key1": "item_id", "start": "item_start", "slots": "item_slots"}).drop("key2"), "benchmark")
     count = known.count()
+    sizes = sorted({WINDOW, *(r["size"] for r in known.select("size").distinct().collect())})  # at most WINDOW of them
+    known = known.drop("size")
     texts = docs.selectExpr("cast(doc_id as bigint) key1", "xxhash64(text) key2", "text")
     if count <= BROADCAST_WINDOWS:
         sorted_windows = np.unique(np.array([r["window"] for r in known.select("window").distinct().toLocalIterator()], np.int64).view(np.uint64))
-        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows)).join(F.broadcast(known), "window")
+        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes).join(F.broadcast(known), "window")
     else:
-        hits = _windows(texts).join(known, "window")
+        hits = _windows(texts, sizes=sizes).join(known, "window")
     hits = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).withColumn("same", F.expr("slots = item_slots"))
     keys = ["doc_id", "text_key", "item_id"]
     hits = written(hits.groupBy(*keys, "item_start", "slots", "item_slots", "same").agg(F.lit(1).alias("one")).drop("one"), "hits")

@@ -43,6 +43,14 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.find_items(docs, bench).collect()] == [1]
 
 
+def test_short_items_inside_longer_texts(spark):
+    rnd = random.Random(2)
+    bench = spark.createDataFrame([(1, "who wrote the old song"), (2, "name the seven seas of old"), (3, "too short")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words(rnd, 40) + " who wrote the old song? " + words(rnd, 9)), (2, "name the seven seas of old"), (3, "it is too short here"), (4, words(rnd, 40) + " who wrote the new song")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_the_joined_way_finds_the_same(spark, sf_dir, monkeypatch):
     found = lambda: sorted(map(str, queries.op9_decontamination(spark, sf_dir).collect()))
     quick = found()
