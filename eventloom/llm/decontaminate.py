@@ -2,9 +2,10 @@
 
 Numbers, units after numbers and names become typed placeholders, everything else a lower-case literal.
 Windows of ``WINDOW`` such tokens (with enough literals) of the benchmark are joined, by hash, with those of
-the documents.  For each document and item, every slot value of the item must map to one value in the
+the documents.  In an occurrence of an item in a document, every slot value of the item must map to one value in the
 document; if so, all matched windows count, and otherwise only those with the benchmark's own values.
-An item is found in a document if the counting windows cover ``MIN_TOKENS`` tokens of it, or all
+Occurrences are judged one by one, and all hits as one.
+An item is found in a document if the counting windows of an occurrence cover ``MIN_TOKENS`` tokens of it, or all
 windows of a shorter item.
 
 Defined results: null or empty texts and items match nothing; an item with fewer tokens than a window is
@@ -140,6 +141,62 @@ def _hits(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size"])
 
 
+def _counting(hits: list[dict]) -> tuple[set[int], bool]:
+    """Starts in the item of the hits that count, and whether some slot has another value."""
+    values: dict[str, str] = {}
+    clash = any(values.setdefault(a, b) != b for h in hits for a, b in zip(h["item_slots"], h["slots"]))
+    counting = [h for h in hits if not clash or h["slots"] == h["item_slots"]]
+    return {h["item_start"] for h in counting}, any(h["slots"] != h["item_slots"] for h in counting)
+
+
+def _occurrences(hits: list[dict]):
+    """The hits as one occurrence, and as several: of equal offset, in the item's order, and at near places.
+
+    An occurrence may have words more or less than the item, and there may be chance hits between its own;
+    so an item is found if it is found in any of these.
+    """
+    hits = sorted(hits, key=lambda h: (h["start"], h["item_start"]))
+    yield hits
+    offsets = sorted({h["start"] - h["item_start"] for h in hits})
+    if len(offsets) == 1:
+        return
+    by_offset: dict[int, list[dict]] = {}
+    for h in hits:
+        by_offset.setdefault(h["start"] - h["item_start"], []).append(h)
+    yield from by_offset.values()
+    near: list[list[dict]] = []
+    for before, offset in zip([None, *offsets], offsets):
+        if before is None or offset - before > WINDOW:
+            near.append([])
+        near[-1].extend(by_offset[offset])
+    yield from near
+    run = hits[:1]
+    for before, h in zip(hits, hits[1:]):
+        if h["item_start"] < before["item_start"]:
+            yield run
+            run = []
+        run.append(h)
+    yield run
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """``matched`` and ``reparameterised`` of the occurrence that matches most, of items that are found."""
+
+    def run(batches):
+        for batch in batches:
+            kept, matched, other = [], [], []
+            for i, (windows, hits) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                most, changed = max(((len(at), c) for at, c in map(_counting, _occurrences(hits))), key=lambda x: (x[0], not x[1]))
+                if most >= min(MIN_TOKENS - WINDOW + 1, windows):
+                    kept.append(i)
+                    matched.append(most)
+                    other.append(changed)
+            rows = batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(matched, pa.int64()), pa.array(other, pa.bool_())], [*rows.schema.names, "matched", "reparameterised"])
+
+    return found.mapInArrow(run, "doc_id long, text_key long, item_id long, windows long, matched long, reparameterised boolean")
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Items found in documents: ``doc_id, text_key, item_id, matched, windows, reparameterised``.
 
@@ -158,23 +215,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes).join(F.broadcast(known), "window")
     else:
         hits = _windows(texts, sizes=sizes).join(known, "window")
-    hits = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).withColumn("same", F.expr("slots = item_slots"))
     keys = ["doc_id", "text_key", "item_id"]
-    hits = written(hits.groupBy(*keys, "item_start", "slots", "item_slots", "same").agg(F.lit(1).alias("one")).drop("one"), "hits")
-    pairs = hits.where("not same").select(*keys, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
-    exact = hits.where("same and size(slots) > 0").select(*keys, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
-    clashes = (
-        pairs.union(exact)
-        .groupBy(*keys, F.col("slot.item_slots").alias("value"))
-        .agg((F.min("slot.slots") != F.max("slot.slots")).alias("clash"))
-        .groupBy(*keys)
-        .agg(F.max("clash").alias("clash"))
-    )
-    marked = hits.join(clashes.withColumnsRenamed({k: f"c_{k}" for k in keys}), F.expr(" and ".join(f"{k} <=> c_{k}" for k in keys)), "left")
-    counting = marked.where("same or not coalesce(clash, false)")
-    matched = counting.groupBy(*keys).agg(F.count_distinct("item_start").alias("matched"), F.max(~F.col("same")).alias("reparameterised"))
+    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots")).alias("hits"))
     sizes = known.groupBy("item_id").agg(F.count_distinct("item_start").alias("windows"))
-    found = matched.join(sizes, "item_id").where(F.col("matched") >= F.least(F.lit(MIN_TOKENS - WINDOW + 1), F.col("windows")))
+    sizes = F.broadcast(sizes) if count <= BROADCAST_WINDOWS else sizes
+    found = _counted(found.join(sizes, "item_id").select(*keys, "windows", "hits"))
     return found.select(*keys, "matched", "windows", "reparameterised")
 
 

@@ -51,6 +51,17 @@ def test_short_items_inside_longer_texts(spark):
     assert got == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_slots_are_consistent_within_an_occurrence(spark):
+    text = "take 5 red apples from box 5 and put those 5 apples into the 5 green bags near the old door"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    eight, nine = text.replace("5", "8"), text.replace("5", "9")
+    longer = [t.replace("apples into", "apples then into") for t in (eight, nine)]
+    mixed = "take 8 red apples from box 7 and put those 6 apples into the 4 green bags near the old door"
+    rows = [(1, eight + " " + nine), (2, eight + " so then we take 3 red apples from box 3 and put those"), (3, " ".join(longer)), (4, mixed + " " + mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.find_items(docs, bench).where("reparameterised").collect()) == [1, 2, 3]
+
+
 def test_the_joined_way_finds_the_same(spark, sf_dir, monkeypatch):
     found = lambda: sorted(map(str, queries.op9_decontamination(spark, sf_dir).collect()))
     quick = found()
