@@ -5,8 +5,9 @@ Windows of ``WINDOW`` such tokens (with enough literals) of the benchmark are jo
 the documents.  In an occurrence of an item in a document, every slot value of the item must map to one value in the
 document; if so, all matched windows count, and otherwise only those with the benchmark's own values.
 Occurrences are judged one by one, and all hits as one.
+Windows with fewer literals, and all windows with placeholders, are joined verbatim (lower case, all words) as well.
 An item is found in a document if the counting windows of an occurrence cover ``MIN_TOKENS`` tokens of it, or all
-windows of a shorter item.
+windows of a shorter item; windows with enough literals suffice if there are fewer of them.
 
 Defined results: null or empty texts and items match nothing; an item with fewer tokens than a window is
 one window of its own length, and documents are read in windows of that length too; repeated rows are reported once per ``doc_id`` and text; a null
@@ -51,13 +52,13 @@ class Canoniser:
     """Canonical tokens of texts; remembers a bounded number of words."""
 
     def __init__(self, window: int = WINDOW):
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.memo: dict[str, tuple[int, int, int]] = {}
         rng = np.random.default_rng(7)
         self.powers = rng.integers(0, 2**63, window, dtype=np.uint64) | np.uint64(1)
         self.window = window
 
-    def _word(self, word: str) -> tuple[int, int]:
-        """Hash of the bare lower-case word, and flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence."""
+    def _word(self, word: str) -> tuple[int, int, int]:
+        """Hash of the bare lower-case word, flags (1 number, 2 unit, 4 capitalised, 8 ends a sentence), hash that tells signs apart."""
         bare = word.strip(_EDGES)
         flags = 8 * word.endswith((".", "!", "?", ":")) + 4 * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
         if _NUMBER.fullmatch(bare):
@@ -66,11 +67,12 @@ class Canoniser:
             flags |= 2
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        value = self.memo[word] = (xxhash.xxh64_intdigest(bare.lower()), flags)
+        folded = xxhash.xxh64_intdigest(bare.lower())
+        value = self.memo[word] = (folded, flags, folded if bare else xxhash.xxh64_intdigest(word))
         return value
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words, classes and literal hashes."""
+    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words, classes, literal hashes, and hashes of all words for verbatim windows."""
         words = text.split()
         get, make = self.memo.get, self._word
         found = [get(w) or make(w) for w in words]
@@ -79,28 +81,45 @@ class Canoniser:
         before = np.concatenate([[8], flags[:-1]]) if len(words) else flags
         kinds = np.where((flags & 4 > 0) & (before & 8 == 0), NAME, LITERAL)
         kinds = np.where((flags & 2 > 0) & (before & 1 > 0), UNIT, kinds)
-        return words, np.where(flags & 1 > 0, NUMBER, kinds), hashes
+        exact = np.fromiter((f[2] for f in found), np.uint64, len(words))
+        return words, np.where(flags & 1 > 0, NUMBER, kinds), hashes, exact
 
-    def windows(self, kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of ``size`` tokens that hold enough literals."""
+    def windows(self, kinds: np.ndarray, hashes: np.ndarray, exact: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """Starts and hashes of the windows of ``size`` tokens, whether they hold enough literals, and whether they are templates.
+
+        Templates hold enough literals.  Any window whose words are not all literals is verbatim, too.
+        """
         n = len(kinds)
         if not 0 < size <= n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        values = np.where(kinds == LITERAL, hashes, _CLASS[kinds])
+            return []
+        literal = kinds == LITERAL
+        rich = _within(literal, size) >= min(MIN_LITERALS, size)
+        found = [(np.flatnonzero(rich), self._hashes(np.where(literal, hashes, _CLASS[kinds]), size)[rich], rich[rich], True)]
+        other = ~literal | (exact != hashes)
+        if other.any():
+            own = _within(other, size) > 0
+            found.append((np.flatnonzero(own), self._hashes(exact, size)[own], rich[own], False))
+        return found
+
+    def _hashes(self, values: np.ndarray, size: int) -> np.ndarray:
+        n = len(values)
         total = np.full(n - size + 1, size, np.uint64)
         for i in range(size):
             total += values[i : n - size + 1 + i] * self.powers[i]
-        total = (total ^ (total >> np.uint64(29))) * _MIX
-        literals = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-        starts = np.flatnonzero(literals[size:] - literals[: n - size + 1] >= min(MIN_LITERALS, size))
-        return starts, total[starts]
+        return (total ^ (total >> np.uint64(29))) * _MIX
+
+
+def _within(flags: np.ndarray, size: int) -> np.ndarray:
+    """How many flags are set in each window."""
+    sums = np.concatenate([[0], np.cumsum(flags)])
+    return sums[size:] - sums[: len(flags) - size + 1]
 
 
 def _slots(words: list[str], kinds: np.ndarray, start: int, size: int) -> list[str]:
     return [words[start + i].strip(_EDGES).lower() for i in np.flatnonzero(kinds[start : start + size]).tolist()]
 
 
-_HITS = "key1 long, key2 long, start int, window long, slots array<string>, size int"
+_HITS = "key1 long, key2 long, start int, window long, slots array<string>, size int, rich boolean"
 
 
 def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> DataFrame:
@@ -113,40 +132,41 @@ def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> Dat
         canoniser = worker_state("decontaminate", Canoniser)
         wanted = known.value if known else None
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for key1, key2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, kinds, hashes = canoniser.tokens(text or "")
+                words, *tokens = canoniser.tokens(text or "")
                 for size in sizes or [min(WINDOW, len(words))]:
-                    starts, found = canoniser.windows(kinds, hashes, size)
-                    if wanted is not None:
-                        if len(wanted):
-                            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                            hit = np.flatnonzero(wanted[at] == found)
-                        else:
-                            hit = np.zeros(0, np.int64)
-                        starts, found = starts[hit], found[hit]
-                    for start, window in zip(starts.tolist(), found.view(np.int64).tolist()):
-                        for column, value in zip(out, (key1, key2, start, window, _slots(words, kinds, start, size), size)):
-                            column.append(value)
-                        if len(out[0]) >= 10_000:
-                            yield _hits(out)
-                            out = [[] for _ in range(6)]
+                    for starts, found, rich, template in canoniser.windows(*tokens, size):
+                        if wanted is not None:
+                            if len(wanted):
+                                at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                                hit = np.flatnonzero(wanted[at] == found)
+                            else:
+                                hit = np.zeros(0, np.int64)
+                            starts, found, rich = starts[hit], found[hit], rich[hit]
+                        for start, window, literals in zip(starts.tolist(), found.view(np.int64).tolist(), rich.tolist()):
+                            slots = _slots(words, tokens[0], start, size) if template else []
+                            for column, value in zip(out, (key1, key2, start, window, slots, size, literals)):
+                                column.append(value)
+                            if len(out[0]) >= 10_000:
+                                yield _hits(out)
+                                out = [[] for _ in range(7)]
             yield _hits(out)
 
     return rows.mapInArrow(run, _HITS)
 
 
 def _hits(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size", "rich"])
 
 
-def _counting(hits: list[dict]) -> tuple[set[int], bool]:
-    """Starts in the item of the hits that count, and whether some slot has another value."""
+def _counting(hits: list[dict]) -> tuple[int, int, bool]:
+    """Windows of the item that count, those with enough literals, and whether some slot has another value."""
     values: dict[str, str] = {}
     clash = any(values.setdefault(a, b) != b for h in hits for a, b in zip(h["item_slots"], h["slots"]))
     counting = [h for h in hits if not clash or h["slots"] == h["item_slots"]]
-    return {h["item_start"] for h in counting}, any(h["slots"] != h["item_slots"] for h in counting)
+    return len({h["item_start"] for h in counting}), len({h["item_start"] for h in counting if h["rich"]}), any(h["slots"] != h["item_slots"] for h in counting)
 
 
 def _occurrences(hits: list[dict]):
@@ -185,12 +205,14 @@ def _counted(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             kept, matched, other = [], [], []
-            for i, (windows, hits) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                most, changed = max(((len(at), c) for at, c in map(_counting, _occurrences(hits))), key=lambda x: (x[0], not x[1]))
-                if most >= min(MIN_TOKENS - WINDOW + 1, windows):
+            for i, (windows, hits, templates) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))):
+                least, least_rich = min(MIN_TOKENS - WINDOW + 1, windows), min(MIN_TOKENS - WINDOW + 1, templates or windows)
+                enough = [(n, not changed) for n, rich, changed in map(_counting, _occurrences(hits)) if n >= least or rich >= least_rich]
+                if enough:
+                    most, unchanged = max(enough)
                     kept.append(i)
                     matched.append(most)
-                    other.append(changed)
+                    other.append(not unchanged)
             rows = batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(matched, pa.int64()), pa.array(other, pa.bool_())], [*rows.schema.names, "matched", "reparameterised"])
 
@@ -208,18 +230,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = written(_windows(items).withColumnsRenamed({"key1": "item_id", "start": "item_start", "slots": "item_slots"}).drop("key2"), "benchmark")
     count = known.count()
     sizes = sorted({WINDOW, *(r["size"] for r in known.select("size").distinct().collect())})  # at most WINDOW of them
-    known = known.drop("size")
+    known = known.select("item_id", "item_start", "window", "item_slots", "rich")
     texts = docs.selectExpr("cast(doc_id as bigint) key1", "xxhash64(text) key2", "text")
     if count <= BROADCAST_WINDOWS:
         sorted_windows = np.unique(np.array([r["window"] for r in known.select("window").distinct().toLocalIterator()], np.int64).view(np.uint64))
-        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes).join(F.broadcast(known), "window")
+        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes).drop("rich").join(F.broadcast(known), "window")
     else:
-        hits = _windows(texts, sizes=sizes).join(known, "window")
+        hits = _windows(texts, sizes=sizes).drop("rich").join(known, "window")
     keys = ["doc_id", "text_key", "item_id"]
-    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots")).alias("hits"))
-    sizes = known.groupBy("item_id").agg(F.count_distinct("item_start").alias("windows"))
+    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots", "rich")).alias("hits"))
+    sizes = known.groupBy("item_id").agg(F.count_distinct("item_start").alias("windows"), F.count_distinct(F.expr("if(rich, item_start, null)")).alias("templates"))
     sizes = F.broadcast(sizes) if count <= BROADCAST_WINDOWS else sizes
-    found = _counted(found.join(sizes, "item_id").select(*keys, "windows", "hits"))
+    found = _counted(found.join(sizes, "item_id").select(*keys, "windows", "hits", "templates"))
     return found.select(*keys, "matched", "windows", "reparameterised")
 
 

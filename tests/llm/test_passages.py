@@ -62,6 +62,16 @@ def test_slots_are_consistent_within_an_occurrence(spark):
     assert sorted(r["doc_id"] for r in decontaminate.find_items(docs, bench).where("reparameterised").collect()) == [1, 2, 3]
 
 
+def test_items_with_few_literals(spark):
+    rnd = random.Random(4)
+    mixed = "add the numbers 1 2 3 4 5 6 7 8 9 10 11 12"
+    bench = spark.createDataFrame([(1, "12 + 7 * 3 - 45 / 9"), (2, "costs 5 km"), (3, mixed), (4, "one, Anna Bella Carla Dora 5 km 6")], "item_id long, text string")
+    around = lambda text: words(rnd, 20) + " " + text + " " + words(rnd, 20)
+    rows = [(1, around("12 + 7 * 3 - 45 / 9")), (2, around("costs 5 km")), (3, around(mixed)), (4, around("one, Anna Bella Carla Dora 5 km 6")), (5, around("12 + 8 * 3 - 45 / 9")), (6, around("12 + 7 - 3 * 45 / 9")), (7, around("costs 6 km"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_the_joined_way_finds_the_same(spark, sf_dir, monkeypatch):
     found = lambda: sorted(map(str, queries.op9_decontamination(spark, sf_dir).collect()))
     quick = found()
