@@ -6,6 +6,7 @@ the documents.  In an occurrence of an item in a document, every slot value of t
 document; if so, all matched windows count, and otherwise only those with the benchmark's own values.
 Occurrences are judged one by one, and all hits as one.
 Windows with fewer literals, and all windows with placeholders, are joined verbatim (lower case, all words) as well.
+Numbers with their unit ('5km') and names after a sentence that are names elsewhere in the text too are read both ways.
 An item is found in a document if the counting windows of an occurrence cover ``MIN_TOKENS`` tokens of it, or all
 windows of a shorter item; windows with enough literals suffice if there are fewer of them.
 
@@ -17,6 +18,7 @@ one window of its own length, and documents are read in windows of that length t
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ UNITS = frozenset(
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
+_QUANTITY = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*([^\W\d_]+)")
 _EDGES = "\"'()[]{}<>.,;:!?*_`~“”‘’«»…-"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CLASS = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name"))], np.uint64)
@@ -58,21 +61,26 @@ class Canoniser:
         self.window = window
 
     def _word(self, word: str) -> tuple[int, int, int]:
-        """Hash of the bare lower-case word, flags (1 number, 2 unit, 4 capitalised, 8 ends a sentence), hash that tells signs apart."""
+        """Hash of the bare lower-case word, flags (1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 number and unit in one), hash that tells signs apart."""
         bare = word.strip(_EDGES)
         flags = 8 * word.endswith((".", "!", "?", ":")) + 4 * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
         if _NUMBER.fullmatch(bare):
             flags |= 1
         elif bare.lower() in UNITS:
             flags |= 2
+        elif (m := _QUANTITY.fullmatch(bare)) and m[1].lower() in UNITS:
+            flags |= 16
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         folded = xxhash.xxh64_intdigest(bare.lower())
         value = self.memo[word] = (folded, flags, folded if bare else xxhash.xxh64_intdigest(word))
         return value
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Raw words, classes, literal hashes, and hashes of all words for verbatim windows."""
+    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words, classes, wider classes, literal hashes, and hashes of all words for verbatim windows.
+
+        In the wider classes, a number with its unit is a number, and a name that is one elsewhere is one after a sentence too.
+        """
         words = text.split()
         get, make = self.memo.get, self._word
         found = [get(w) or make(w) for w in words]
@@ -82,23 +90,32 @@ class Canoniser:
         kinds = np.where((flags & 4 > 0) & (before & 8 == 0), NAME, LITERAL)
         kinds = np.where((flags & 2 > 0) & (before & 1 > 0), UNIT, kinds)
         exact = np.fromiter((f[2] for f in found), np.uint64, len(words))
-        return words, np.where(flags & 1 > 0, NUMBER, kinds), hashes, exact
+        kinds = np.where(flags & 1 > 0, NUMBER, kinds)
+        wider = np.where(flags & 16 > 0, NUMBER, kinds)
+        first = np.flatnonzero((kinds == LITERAL) & (flags & 4 > 0))
+        if len(first):
+            wider[first[np.isin(hashes[first], hashes[kinds == NAME])]] = NAME
+        return words, kinds, wider, hashes, exact
 
-    def windows(self, kinds: np.ndarray, hashes: np.ndarray, exact: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-        """Starts and hashes of the windows of ``size`` tokens, whether they hold enough literals, and whether they are templates.
+    def windows(self, kinds: np.ndarray, wider: np.ndarray, hashes: np.ndarray, exact: np.ndarray, size: int) -> list[tuple]:
+        """Starts and hashes of the windows of ``size`` tokens, whether they hold enough literals, and their classes if they are templates.
 
-        Templates hold enough literals.  Any window whose words are not all literals is verbatim, too.
+        Templates hold enough literals; where the wider classes differ, there is a template of these, too.  Any window whose words are not all literals is verbatim, too.
         """
         n = len(kinds)
         if not 0 < size <= n:
             return []
         literal = kinds == LITERAL
         rich = _within(literal, size) >= min(MIN_LITERALS, size)
-        found = [(np.flatnonzero(rich), self._hashes(np.where(literal, hashes, _CLASS[kinds]), size)[rich], rich[rich], True)]
+        found = [(np.flatnonzero(rich), self._hashes(np.where(literal, hashes, _CLASS[kinds]), size)[rich], rich[rich], kinds)]
+        changed = wider != kinds
+        if changed.any():
+            own = (_within(changed, size) > 0) & (_within(wider == LITERAL, size) >= min(MIN_LITERALS, size))
+            found.append((np.flatnonzero(own), self._hashes(np.where(wider == LITERAL, hashes, _CLASS[wider]), size)[own], rich[own], wider))
         other = ~literal | (exact != hashes)
         if other.any():
             own = _within(other, size) > 0
-            found.append((np.flatnonzero(own), self._hashes(exact, size)[own], rich[own], False))
+            found.append((np.flatnonzero(own), self._hashes(exact, size)[own], rich[own], None))
         return found
 
     def _hashes(self, values: np.ndarray, size: int) -> np.ndarray:
@@ -119,7 +136,7 @@ def _slots(words: list[str], kinds: np.ndarray, start: int, size: int) -> list[s
     return [words[start + i].strip(_EDGES).lower() for i in np.flatnonzero(kinds[start : start + size]).tolist()]
 
 
-_HITS = "key1 long, key2 long, start int, window long, slots array<string>, size int, rich boolean"
+_HITS = "key1 long, key2 long, start int, window long, slots array<string>, size int, rich boolean, wider boolean"
 
 
 def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> DataFrame:
@@ -132,11 +149,11 @@ def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> Dat
         canoniser = worker_state("decontaminate", Canoniser)
         wanted = known.value if known else None
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for key1, key2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words, *tokens = canoniser.tokens(text or "")
                 for size in sizes or [min(WINDOW, len(words))]:
-                    for starts, found, rich, template in canoniser.windows(*tokens, size):
+                    for starts, found, rich, classes in canoniser.windows(*tokens, size):
                         if wanted is not None:
                             if len(wanted):
                                 at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
@@ -145,20 +162,20 @@ def _windows(rows: DataFrame, known=None, sizes: list[int] | None = None) -> Dat
                                 hit = np.zeros(0, np.int64)
                             starts, found, rich = starts[hit], found[hit], rich[hit]
                         for start, window, literals in zip(starts.tolist(), found.view(np.int64).tolist(), rich.tolist()):
-                            slots = _slots(words, tokens[0], start, size) if template else []
-                            for column, value in zip(out, (key1, key2, start, window, slots, size, literals)):
+                            slots = _slots(words, classes, start, size) if classes is not None else []
+                            for column, value in zip(out, (key1, key2, start, window, slots, size, literals, classes is tokens[1])):
                                 column.append(value)
                             if len(out[0]) >= 10_000:
                                 yield _hits(out)
-                                out = [[] for _ in range(7)]
+                                out = [[] for _ in range(8)]
             yield _hits(out)
 
     return rows.mapInArrow(run, _HITS)
 
 
 def _hits(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size", "rich"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key1", "key2", "start", "window", "slots", "size", "rich", "wider"])
 
 
 def _counting(hits: list[dict]) -> tuple[int, int, bool]:
@@ -176,6 +193,8 @@ def _occurrences(hits: list[dict]):
     so an item is found if it is found in any of these.
     """
     hits = sorted(hits, key=lambda h: (h["start"], h["item_start"]))
+    if not hits:
+        return
     yield hits
     offsets = sorted({h["start"] - h["item_start"] for h in hits})
     if len(offsets) == 1:
@@ -207,7 +226,9 @@ def _counted(found: DataFrame) -> DataFrame:
             kept, matched, other = [], [], []
             for i, (windows, hits, templates) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))):
                 least, least_rich = min(MIN_TOKENS - WINDOW + 1, windows), min(MIN_TOKENS - WINDOW + 1, templates or windows)
-                enough = [(n, not changed) for n, rich, changed in map(_counting, _occurrences(hits)) if n >= least or rich >= least_rich]
+                narrow = [h for h in hits if not h["wider"]]
+                narrow = narrow if len(narrow) < len(hits) else []
+                enough = [(n, not changed) for n, rich, changed in map(_counting, chain(_occurrences(hits), _occurrences(narrow))) if n >= least or rich >= least_rich]
                 if enough:
                     most, unchanged = max(enough)
                     kept.append(i)
@@ -227,10 +248,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = benchmark.selectExpr("cast(item_id as bigint) key1", "xxhash64(text) key2", "text").distinct()
-    known = written(_windows(items).withColumnsRenamed({"key1": "item_id", "start": "item_start", "slots": "item_slots"}).drop("key2"), "benchmark")
+    known = written(_windows(items).withColumnsRenamed({"key1": "item_id", "start": "item_start", "slots": "item_slots", "wider": "item_wider"}).drop("key2"), "benchmark")
     count = known.count()
     sizes = sorted({WINDOW, *(r["size"] for r in known.select("size").distinct().collect())})  # at most WINDOW of them
-    known = known.select("item_id", "item_start", "window", "item_slots", "rich")
+    known = known.select("item_id", "item_start", "window", "item_slots", "rich", "item_wider")
     texts = docs.selectExpr("cast(doc_id as bigint) key1", "xxhash64(text) key2", "text")
     if count <= BROADCAST_WINDOWS:
         sorted_windows = np.unique(np.array([r["window"] for r in known.select("window").distinct().toLocalIterator()], np.int64).view(np.uint64))
@@ -238,7 +259,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         hits = _windows(texts, sizes=sizes).drop("rich").join(known, "window")
     keys = ["doc_id", "text_key", "item_id"]
-    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots", "rich")).alias("hits"))
+    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots", "rich", F.expr("wider or item_wider").alias("wider"))).alias("hits"))
     sizes = known.groupBy("item_id").agg(F.count_distinct("item_start").alias("windows"), F.count_distinct(F.expr("if(rich, item_start, null)")).alias("templates"))
     sizes = F.broadcast(sizes) if count <= BROADCAST_WINDOWS else sizes
     found = _counted(found.join(sizes, "item_id").select(*keys, "windows", "hits", "templates"))

@@ -72,6 +72,17 @@ def test_items_with_few_literals(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_letter_case_and_untyped_values(spark):
+    german = "Der alte Bauer sah den Hund und die Katze neben dem Haus mit dem Garten hinter der Kirche."
+    glued = "the runner went 5km today and then rested near his house"
+    names = "Anna went up the hill for the water. Anna came down and her friend Anna laughed."
+    bench = spark.createDataFrame([(1, german), (2, glued), (3, names)], "item_id long, text string")
+    rows = [(1, german.lower()), (2, german.upper()), (3, glued.replace("5km", "12km")), (4, names.replace("Anna", "Bella")), (5, german), (6, glued), (7, glued.replace("5km", "slowly"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.find_items(docs, bench).collect()}
+    assert got == {(1, 1, False), (2, 1, False), (3, 2, True), (4, 3, True), (5, 1, False), (6, 2, False)}
+
+
 def test_the_joined_way_finds_the_same(spark, sf_dir, monkeypatch):
     found = lambda: sorted(map(str, queries.op9_decontamination(spark, sf_dir).collect()))
     quick = found()
