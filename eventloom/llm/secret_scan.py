@@ -8,7 +8,8 @@ one generated from public credential formats and common false alarms) and writte
 Everything runs on built-in functions; the forest is trained by Spark's own library on the labelled table only.
 
 Defined results: null or empty texts have no candidates; repeated rows are scanned one by one; a null ``doc_id`` stays
-null; extra columns are ignored; of candidates within one word the longest run counts.
+null; extra columns are ignored; all runs within one word are candidates, each with the text from the run before it to the run
+after it as its word.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def _any_of(words: list[str]) -> str:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """With the columns ``FEATURES`` from ``candidate``, ``word`` (that holds it), ``before`` and ``before2`` (words)."""
+    """With the columns ``FEATURES`` from ``candidate``, ``word`` (that holds it), ``before`` and ``before2`` (words); ``head`` is what precedes it in ``word``, if given."""
     c, word = F.col("candidate"), F.col("word")
     size = F.length(c).cast("double")
     share = lambda pattern: (size - F.length(F.regexp_replace(c, pattern, ""))) / size
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "[^ab0]", "-")
-    head = F.expr("substring_index(word, candidate, 1)")
+    head = F.col("head") if "head" in rows.columns else F.expr("substring_index(word, candidate, 1)")
     near = F.concat_ws(" ", F.coalesce("before2", F.lit("")), F.coalesce("before", F.lit("")), head)
     flag = lambda x: x.cast("double")
     dictionary = "(?i)(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
@@ -80,7 +81,7 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, word_index, word, before, before2, candidate``; texts without any candidate are passed over at once."""
+    """``doc_id, word_index, word, head, before, before2, candidate``; texts without any candidate are passed over at once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CANDIDATE))
     words = rows.select("doc_id", F.split("text", r"\s+").alias("words"))
     found = F.filter(
@@ -90,8 +91,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     at = F.col("x.word_index")
     near = lambda k: F.when(at >= k, F.try_element_at("words", at + F.lit(1 - k)))
     runs = F.regexp_extract_all(F.col("x.word"), F.lit(f"({CANDIDATE})"), F.lit(1))
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    return exploded.select("doc_id", at.alias("word_index"), F.col("x.word").alias("word"), near(1).alias("before"), near(2).alias("before2"), longest.alias("candidate"))
+    gaps = F.split("x.word", CANDIDATE)  # one more than runs
+    last, after = F.concat(F.array(F.lit("")), runs), F.slice(gaps, 2, F.size(gaps))
+    parts = F.arrays_zip(runs.alias("run"), gaps.alias("gap"), last.alias("last"), after.alias("after"))
+    each = exploded.select("doc_id", at.alias("word_index"), near(1).alias("before"), near(2).alias("before2"), parts.alias("parts"))
+    each = each.select("doc_id", "word_index", "before", "before2", F.explode("parts").alias("p")).where("p.run is not null")
+    head = F.concat("p.last", "p.gap")
+    return each.select("doc_id", "word_index", F.concat(head, "p.run", "p.after").alias("word"), head.alias("head"), "before", "before2", F.col("p.run").alias("candidate"))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
