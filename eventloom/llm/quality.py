@@ -1,9 +1,11 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics each vote good, bad or nothing on a text.  Expectation-maximisation over the counts
-of vote patterns of all texts estimates how each heuristic votes on good and on bad texts (Dawid and
-Skene's model), which gives a posterior for every pattern.  The posteriors of a bounded sample train a
-linear scorer on hashed word shapes, which scores all texts.
+Overlapping heuristics each vote good, bad or nothing on a text.  What is bad comes in kinds (noise of symbols,
+shouting, repetition), and a heuristic is written for one of them but may be set off by others.  Expectation-maximisation
+over the counts of vote patterns of all texts estimates how many texts are good or of each kind, and how each
+heuristic votes on each (Dawid and Skene's model); nothing about these accuracies is set beforehand but where to start.  That
+gives a posterior for every pattern.  The posteriors of a bounded sample train a linear scorer on hashed word shapes,
+which scores all texts.
 
 Defined results: a text without words (null, empty, blank) scores 0 and is not kept; repeated rows score
 alike; a table without texts is scored by the prior (0.5, kept); a null ``doc_id`` stays null; extra
@@ -32,13 +34,15 @@ BUCKETS = 512
 #: Scores from here on are kept.
 THRESHOLD = 0.5
 MEMO_WORDS = 200_000
-#: The heuristics are written for precision: a bad vote on a good text is this rare beforehand.
-FALSE_ALARM = 0.002
-#: Weight of that belief, in votes per text of the table.
-BELIEF = 50
 GOOD, BAD, NONE = 0, 1, 2
 
+#: What a text can be, and the kind of bad text that each heuristic is written for.
+KINDS = ("good", "noise", "shouting", "repetition")
+WRITTEN_FOR = ("noise", "noise", "noise", "shouting", "shouting", "shouting", "repetition", "repetition", "repetition")
+
 _SYMBOLS = b"#$%&*!|<>{}[]\\^~=_+@"
+#: Runs of symbols beside words.
+_MARKS = (b"$$", b"##", b"%%", b"&&", b"**", b"@@", b"==", b"~~", b"__", b" | ")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 
@@ -48,22 +52,28 @@ def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) ->
 
 
 def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
-    """Votes of the heuristics on a text and its words (split at ASCII white space)."""
+    """Votes of the heuristics, in the order of ``WRITTEN_FOR``, on a text and its words (split at ASCII white space)."""
     n, size = len(words), len(text)
     if not n:
-        return (NONE,) * 6
+        return (NONE,) * len(WRITTEN_FOR)
     upper, lower = size - len(text.translate(None, _UPPER)), size - len(text.translate(None, _LOWER))
     symbols = size - len(text.translate(None, _SYMBOLS))
+    marked = sum(text.count(mark) for mark in _MARKS)
+    called = text.count(b"!!") + text.count(b"?!") + text.count(b"??")
+    distinct = set(words)
+    shouted = sum(1 for w in words if len(w) > 2 and w.isupper()) if upper else 0
     repeated = sum(map(operator.eq, words, words[1:]))
     length = (size - n + 1) / n
-    ends = text.count(b". ") + text.count(b".\n") + text.count(b"? ") + text.count(b"! ") + text.endswith((b".", b"?", b"!"))
     return (
         _vote(symbols / size, (0, 0.01), (0, 0.04)),
+        _vote(marked / n, (0, 0.03), (0, 0.15)) if n >= 3 else NONE,
+        _vote(length, (3.5, 10), (2.5, 15)) if n >= 10 else NONE,
         _vote(upper / max(1, upper + lower), (0, 0.2), (0, 0.5)) if upper + lower >= 20 else NONE,
+        _vote(shouted / n, (0, 0.1), (0, 0.3)) if n >= 5 else NONE,
+        _vote(called / n, (0, 0.02), (0, 0.1)) if n >= 5 else NONE,
         _vote(repeated / n, (0, 0.02), (0, 0.2)) if n >= 10 else NONE,
-        _vote(len(set(words)) / n, (0.3, 0.98), (0.1, 1)) if 20 <= n <= 2000 else NONE,
-        _vote(length, (3.5, 10), (2.5, 15)) if n >= 10 else NONE,
-        _vote(ends / n, (0.015, 0.35), (0.004, 0.6)) if n >= 40 else NONE,
+        _vote(len(distinct) / n, (0.3, 1), (0.15, 1)) if 20 <= n <= 2000 else NONE,
+        _vote(len(set(zip(words, words[1:]))) / n, (0.5, 1), (0.3, 1)) if 20 <= n <= 5000 else NONE,
     )
 
 
@@ -99,30 +109,38 @@ class QualityModel:
 
     weights: np.ndarray
     bias: float
-    prior: float  # share of good texts
-    accuracies: np.ndarray  # [heuristic, class, vote]
+    shares: np.ndarray  # of the kinds of texts
+    accuracies: np.ndarray  # [heuristic, kind, vote]
     posteriors: dict[tuple[int, ...], float]
 
 
-def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, np.ndarray, dict[tuple[int, ...], float]]:
-    """Prior of good, probabilities ``[heuristic, class, vote]`` of votes cast, and posterior of good per pattern."""
+def _start(votes_of: np.ndarray) -> np.ndarray:
+    """Where the estimation starts: a text without a bad vote is likely good, another one of the kinds that its bad votes were written for."""
+    said = np.stack([(votes_of == BAD)[:, [w == kind for w in WRITTEN_FOR]].mean(axis=1) for kind in KINDS[1:]])
+    bad = np.where(said.sum(axis=0) > 0, 0.8, 0.1)
+    shares = (said + 0.01) / (said + 0.01).sum(axis=0)
+    return np.concatenate([[1 - bad], bad * shares])
+
+
+def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], float]]:
+    """Shares of the kinds, probabilities ``[heuristic, kind, vote]`` of votes cast, and posterior of good per pattern."""
     keys = sorted(patterns)
     votes_of = np.array(keys)
     counts = np.array([patterns[k] for k in keys], float)
-    good = np.where((votes_of == BAD).sum(axis=1) > 0, 0.2, 0.9)  # start: any bad vote makes a text doubtful
-    one_hot = np.eye(3)[votes_of][:, :, :NONE]  # an abstention says nothing about the class
+    belief = _start(votes_of)
+    one_hot = np.eye(3)[votes_of][:, :, :NONE]  # an abstention says nothing about the text
     for _ in range(rounds):
-        weights = np.stack([good * counts, (1 - good) * counts])
-        prior = (weights.sum(axis=1) + 1) / (counts.sum() + 2)
-        table = np.einsum("cp,phv->hcv", weights, one_hot) + 0.5
-        table[:, 0] += BELIEF * counts.sum() * np.array([1 - FALSE_ALARM, FALSE_ALARM])
+        weights = belief * counts
+        shares = (weights.sum(axis=1) + 1) / (counts.sum() + len(KINDS))
+        table = np.einsum("cp,phv->hcv", weights, one_hot) + 1  # one vote of each sort, so that none is impossible
         table /= table.sum(axis=2, keepdims=True)
-        joint = np.log(prior)[:, None] + np.einsum("phv,hcv->cp", one_hot, np.log(table))
-        now = 1 / (1 + np.exp(np.clip(joint[1] - joint[0], -500, 500)))
-        if np.abs(now - good).max() < 1e-9:
+        joint = np.log(shares)[:, None] + np.einsum("phv,hcv->cp", one_hot, np.log(table))
+        now = np.exp(joint - joint.max(axis=0))
+        now /= now.sum(axis=0)
+        if np.abs(now - belief).max() < 1e-9:
             break
-        good = now
-    return float(prior[0]), table, dict(zip(keys, good.tolist()))
+        belief = now
+    return shares, table, dict(zip(keys, belief[0].tolist()))
 
 
 def train_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -148,7 +166,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Votes of all texts, then the scorer from about ``sample`` of them chosen by a hash of id and text.
 
-    The driver gets at most 3**6 pattern counts and the sample's vectors.
+    The driver gets at most 3**9 pattern counts and the sample's vectors.
     """
 
     def count(batches):
@@ -164,8 +182,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     counted = rows.mapInArrow(count, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     patterns = {tuple(r["votes"]): r["n"] for r in counted}
     if not patterns:
-        return QualityModel(np.zeros(BUCKETS), 0.0, 0.5, np.full((6, 2, 2), 1 / 2), {})
-    prior, table, posteriors = expectation_maximisation(patterns)
+        return QualityModel(np.zeros(BUCKETS), 0.0, np.full(len(KINDS), 1 / len(KINDS)), np.full((len(WRITTEN_FOR), len(KINDS), 2), 1 / 2), {})
+    shares, table, posteriors = expectation_maximisation(patterns)
     share = min(1.0, sample / sum(patterns.values()))
 
     def draw(batches):
@@ -181,10 +199,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     taken = sorted((tuple(r["votes"]), bytes(r["x"])) for r in drawn.mapInArrow(draw, "votes binary, x binary").collect())
     if not taken:
-        return QualityModel(np.zeros(BUCKETS), math.log(prior / (1 - prior)), prior, table, posteriors)
+        return QualityModel(np.zeros(BUCKETS), math.log(shares[0] / (1 - shares[0])), shares, table, posteriors)
     x = np.frombuffer(b"".join(t[1] for t in taken), np.float32).reshape(-1, BUCKETS).astype(float)
     weights, bias = train_scorer(x, np.array([posteriors[t[0]] for t in taken]))
-    return QualityModel(weights, bias, prior, table, posteriors)
+    return QualityModel(weights, bias, shares, table, posteriors)
 
 
 class _Scorer:
