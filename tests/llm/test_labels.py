@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, language, quality, queries, secret_scan
+from eventloom.llm import language, quality, queries, secret_scan
 
 DOCS = "doc_id long, text string, lang string, score string"
 
@@ -197,27 +197,3 @@ def test_held_out_findings(spark):
     forest = secret_scan.train(findings.where(~part))
     got = secret_scan.features(findings.where(part)).withColumn("said", secret_scan.forest_score(forest) >= 0.5).collect()
     assert sum(r["said"] == bool(r["label"]) for r in got) >= 0.97 * len(got)
-
-
-def test_chat_round_trip(spark):
-    rows = [
-        (1, 0, "system", "Be kind."), (1, 1, "user", "What is it?\nTell me."), (1, 2, "assistant", "It is this.\n\nNote: that too."), (1, 3, "user", ""), (2, 0, "user", "Hi"),
-        (2, 1, "user", "Hi again"), (2, 2, "assistant", None), (3, 0, "user", "x" * 50000), (3, 600, "assistant", "late"), (None, 0, "user", "lost"), (4, 0, "user", "a"), (4, 0, "user", "a"),
-    ]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, turns string")
-    model = chat.learn(df)
-    got = {(r["conv_id"], r["block"]): [(t["role"], t["text"]) for t in r["turns"]] for r in chat.parse_transcripts(chat.transcripts(df), model).collect()}
-    expected: dict = {}
-    for conv, turn, role, text in rows:
-        expected.setdefault((conv, turn // 512), []).append((role, text or ""))
-    assert got == expected
-    assert chat.rendered(chat.parse_transcripts(chat.transcripts(df.limit(0)), model)).count() == 0
-    assert chat.parse_transcripts(spark.createDataFrame([(1, 0, None)], "conv_id long, block long, text string"), model).first()["turns"] == []
-
-
-def test_unmarked_lines_follow_their_neighbours():
-    model = chat.ChatModel(["user", "assistant"], {("", "user"): 50, ("user", "assistant"): 90, ("assistant", "user"): 80}, {})
-    text = "Human: How are you?\nAI: Fine.\nAnd you?\nHuman: Well.\nQ: Another?\nA: Yes."
-    assert [r for r, _ in model.parse(text)] == ["user", "assistant", "user", "user", "assistant"]
-    assert model.parse(text)[1] == ("assistant", "Fine.\nAnd you?")
-    assert model.parse("Hello there\nAI: Hello")[0][0] == "user"
