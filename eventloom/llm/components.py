@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._base import written
+from eventloom.llm._base import discard, written
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -42,12 +42,14 @@ def alternation(edges: DataFrame) -> DataFrame:
 
 def stars(edges: DataFrame) -> DataFrame:
     """Edges from each node to the smallest of its component: alternations until nothing changes."""
-    before = None
+    before, given = None, edges
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before or now[0] == 0:
             return edges
-        before, edges = now, alternation(edges)
+        last, before, edges = edges, now, alternation(edges)
+        if last is not given:
+            discard(last)
 
 
 def oriented(edges: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 A document's set holds the hashes of its distinct five-word shingles.  Documents with equal sets form a
 class at once.  Many universal hash functions give minima; bands of them name buckets, and signatures
 verify candidates before the sets themselves are compared exactly: set sizes, a two-bit sketch of the
-minima, and a parity sketch of the whole set, whose differing bits are never more than differing shingles.  Within a bucket, members are compared with pivots only: the member with the smallest
-hash first, then rounds with more pivots each, until every member of an open bucket (one that still
-holds members of different components) has been a pivot.  So each candidate pair is tested unless its
-two ends are already connected, yet a large group of copies costs a few rows per member.  Components
-come from alternating large-star and small-star.
+minima, and a parity sketch of the whole set, whose differing bits are never more than differing shingles.
+
+Within a bucket, classes are compared with pivots only.  The first round pairs each class with the first
+pivot of each of its buckets, each pair once, so its rows are in proportion to the classes.  Then links
+are confirmed and components found (by alternating large-star and small-star), and only buckets that
+still hold several components go on, with few pivots at first and more from round to round, until every
+class of an open bucket has been a pivot.  So each candidate pair is tested unless its two ends are
+already connected, and a large group of copies costs a few rows per class.  What stays quadratic is the
+cheap test of those classes of one bucket that are never connected: each could be linked with any other.
 
 Words are runs of bytes other than ASCII white space; A-Z are lower-cased.  Shingles and sets are held
 as 64-bit hashes (a chance of about 1e-11 per pair of long documents that one of them collides).
@@ -29,16 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm._base import discard, worker_state, written
-from eventloom.llm.components import oriented, stars
+from eventloom.llm.components import oriented, spread, stars
 
 WORDS = 5
 SKETCHED = 128
 #: Distinct words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 200_000
 PARITY_BITS = 256
-#: Highest level of pivots of the first round; later rounds take as many levels as ``PER_ROUND`` cheap tests per member allow.
-FIRST_LEVEL = 2
+#: Cheap tests per row of open buckets in the round after the first, and in each later one.
+FIRST_TESTS = 16
 PER_ROUND = 1024
+#: Sets that a task remembers to skip repeated rows.
+MEMO_SETS = 50_000
 SKETCH = ("s0", "s1", "s2", "s3", "o0", "o1", "o2", "o3")
 _BLOCK = 1024
 
@@ -121,96 +127,168 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def shingle_features(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, digest, n, buckets`` and the signature per row, in one pass; an empty set has null digest and no buckets."""
+    """``doc_id, digest, h, n, again, buckets`` and the signature per row, in one pass; an empty set has null digest and no buckets.
+
+    ``h``, the first half of the digest, names the class of documents with this set; ``again`` marks most of the
+    rows that repeat an id and its set, so that a row repeated without end is not shuffled again and again.
+    """
 
     def run(batches):
-        shingler = _shingler(percent)
+        shingler, seen = _shingler(percent), set()
         for batch in batches:
-            digests, sizes, buckets, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            digests, sizes, buckets, sketches, again = [], [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = shingler.set_of(text)
                 sizes.append(len(values))
                 if len(values):
                     bands, sketch = shingler.features(values)
-                    digests.append(xxhash.xxh3_128_digest(values.tobytes()))
+                    digests.append(_digest(values))
                     buckets.append(bands)
                     sketches.append(sketch)
                 else:
                     digests.append(None)
                     buckets.append(np.zeros(0, np.int64))
                     sketches.append(np.zeros(len(SKETCH), np.int64))
+                if len(seen) >= MEMO_SETS:
+                    seen.clear()
+                again.append((doc_id, digests[-1]) in seen)
+                seen.add((doc_id, digests[-1]))
             cells = np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T
+            names = pa.array([d and _name(d) for d in digests], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), *(pa.array(c) for c in cells)],
-                ["doc_id", "digest", "n", "buckets", *SKETCH],
+                [batch.column(0), pa.array(digests, pa.binary()), names, pa.array(sizes, pa.int64()), pa.array(again, pa.bool_()), pa.array(buckets, pa.list_(pa.int64())), *(pa.array(c) for c in cells)],
+                ["doc_id", "digest", "h", "n", "again", "buckets", *SKETCH],
             )
 
-    schema = "doc_id long, digest binary, n long, buckets array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    schema = "doc_id long, digest binary, h long, n long, again boolean, buckets array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     return _rows(docs).mapInArrow(run, schema)
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(values.tobytes())
+
+
+def _name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, values``: the whole set, packed, of each row."""
+    """``h, node, values``: class, id and whole set, packed, of each row; neighbouring rows with the same id and set give one."""
 
     def run(batches):
         shingler = _shingler(percent)
+        before, seen = None, set()
         for batch in batches:
-            values = [shingler.set_of(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "values"])
+            out: list[tuple[int, int, bytes]] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if doc_id != before or len(seen) >= MEMO_SETS:
+                    before, seen = doc_id, set()
+                values = shingler.set_of(text)
+                name = _name(_digest(values))
+                if len(values) and name not in seen:
+                    seen.add(name)
+                    out.append((name, doc_id, values.tobytes()))
+            names, nodes, packed = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["h", "node", "values"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, values binary")
+    return _rows(docs).mapInArrow(run, "h long, node long, values binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole sets reach the threshold."""
+    """Links ``a, b`` between nodes, of those pairs of classes ``a, b`` whose whole sets reach the threshold."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _members(features: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets with two classes at least: ``bucket, size, level, rep, n`` and the signature.
-
-    Level 0 is the member with the smallest hash; the others follow in levels of about 1, 2, 4, ... pivots.
-    """
-    own = features.join(classes, (features["doc_id"] == classes["rep"]) & (features["digest"] == classes["digest"]), "left_semi")
-    own = written(own.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *SKETCH, "buckets").withColumn("h", F.xxhash64("rep")), "classes")
-    dealt = own.select(F.explode("buckets").alias("bucket"), "rep", "h")
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("h").alias("least")).where("size > 1")
-    crowded = dealt.join(written(sizes, "buckets"), "bucket")
-    level = F.when(F.col("h") == F.col("least"), 0).otherwise(1 + F.floor(F.log2(1 + (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size"))))
-    members = crowded.select("bucket", "size", level.cast("int").alias("level"), "rep")
-    return written(members.join(own.drop("buckets", "h"), "rep"), "members")
+    left = sets.select(F.col("h").alias("a"), F.col("node").alias("u"), F.col("values").alias("x"))
+    right = sets.select(F.col("h").alias("b"), F.col("node").alias("v"), F.col("values").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _candidates(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of members of different components, one of them a pivot of levels low to high, that sizes and sketches allow."""
-    member = members.where(F.col("level") >= low)
-    pivot = members.where(F.col("level").between(low, high)).select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("level", "rep", "component", "n", *SKETCH)))
+def _alike(percent: int) -> str:
+    """The test on sizes and signatures that every pair at the threshold passes (but for six standard deviations)."""
     differing = "bit_count((s0 ^ p_s0) | (s2 ^ p_s2)) + bit_count((s1 ^ p_s1) | (s3 ^ p_s3))"
     odd = " + ".join(f"bit_count(o{i} ^ p_o{i})" for i in range(4))
-    allowed = F.expr(
-        f"component <> p_component and (level > p_level or (level = p_level and rep < p_rep))"
-        f" and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
+    return (
+        f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
         f" and {100 + percent} * ({odd}) <= {100 - percent} * (n + p_n) and {differing} <= {sketch_limit(percent)}"
     )
-    joined = member.join(pivot, [member["bucket"] == pivot["bucket"], allowed])
-    return joined.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+
+
+def _pivot(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.select(*(F.col(c).alias(f"p_{c}") for c in (*names, "n", *SKETCH)))
+
+
+def _crowded(own: DataFrame) -> DataFrame:
+    """``bucket, size, least, h, rep`` of each class in a bucket with two classes at least; ``least`` is the bucket's first pivot."""
+    dealt = own.select(F.explode("buckets").alias("bucket"), "h", "rep")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").drop("most")
+    return written(dealt.join(written(sizes, "buckets"), "bucket"), "crowded")
+
+
+def _first_pairs(crowded: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of a class and the first pivot of one of its buckets, each once, that sizes and signatures allow."""
+    pairs = crowded.where("h <> least").select("h", F.col("least").alias("p_h")).distinct()
+    joined = spread(pairs, "h").join(own.select("h", "n", *SKETCH), "h").join(_pivot(own, "h"), "p_h")
+    return joined.where(_alike(percent)).select(F.col("h").alias("a"), F.col("p_h").alias("b"))
+
+
+def _open(rows: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold several components, with ``level, component, n`` and the signature.
+
+    Level 0 is the class with the smallest name; the others follow in levels of about 1, 2, 4, ... pivots.
+    """
+    labelled = rows.select("bucket", "size", "least", "h", "rep").join(labels, "rep", "left")
+    labelled = written(labelled.withColumn("component", F.coalesce("component", "rep")), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    level = F.when(F.col("h") == F.col("least"), 0).otherwise(1 + F.floor(F.log2(1 + (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size"))))
+    still = labelled.join(spread(mixed, "bucket"), "bucket", "left_semi").withColumn("level", level.cast("int"))
+    found = written(still.join(own.select("h", "n", *SKETCH), "h"), "open")
+    discard(labelled)
+    return found
+
+
+def _pairs(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes of different components, one of them a pivot of levels low to high, that sizes and signatures allow."""
+    pivot = _pivot(rows.where(F.col("level").between(low, high)), "bucket", "level", "h", "component")
+    allowed = F.expr(f"component <> p_component and (level > p_level or (level = p_level and h < p_h)) and {_alike(percent)}")
+    joined = rows.where(F.col("level") >= low).join(pivot, (F.col("bucket") == F.col("p_bucket")) & allowed)
+    return joined.select(F.col("h").alias("a"), F.col("p_h").alias("b")).distinct()
+
+
+def _next_levels(rows: DataFrame, low: int, tests: int) -> tuple[int, bool] | None:
+    """The last level of the next round, which has as many levels as ``tests`` cheap tests per row allow, but one at least, and whether none is left after it; None if none is left now."""
+    work = {r["level"]: r for r in rows.groupBy("level").agg(F.sum("size").alias("work"), F.count("*").alias("rows")).collect()}  # one row per level, at most 65
+    left = sorted(level for level in work if level >= low)
+    if not left:
+        return None
+    budget = tests * sum(r["rows"] for r in work.values())
+    high = left[0]
+    for level in left:
+        budget -= work[level]["work"]
+        if budget < 0:
+            break
+        high = level
+    return high, high == left[-1]
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """``rep, component``: the smallest class that each linked class points at."""
-    return links.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
+    """``rep, component``: the smallest node that each linked node points at."""
+    return spread(links.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component")), "rep")
+
+
+def _repeated_ids(features: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` that make rows with one ``doc_id`` and different sets one node."""
+    sets = F.coalesce("digest", F.lit(b""))
+    several = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("one"), F.max(sets).alias("other")).where("one <> other")
+    rows = features.select("doc_id", "digest").where("digest is not null").join(spread(several.select("doc_id"), "doc_id"), "doc_id", "left_semi")
+    return rows.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -222,50 +300,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     features = written(shingle_features(docs, percent), "features")
     classes = written(features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    members = _members(features, classes)
-    crowded = members
-    sets = links = current = pairs = None
-    low, top = 0, members.agg(F.max("level")).first()[0]
-    while top is not None and low <= top:
-        if links is None:
-            current = members.withColumn("component", F.col("rep"))
-            high = FIRST_LEVEL
-        else:
-            before = current
-            labelled = members.join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            labelled = written(labelled, "labelled")
-            mixed = labelled.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
-            mixed = written(mixed.select("bucket"), "mixed")
-            current = written(labelled.join(mixed, "bucket", "left_semi"), "open")
-            discard(before, labelled, mixed)
-            rows = current.agg(F.count("*").alias("rows"), F.max("level").alias("top"), F.max("size").alias("size")).first()
-            if not rows["rows"] or rows["top"] < low:
-                break
-            work = current.groupBy("level").agg(F.sum("size").alias("work")).collect()  # one row per level, at most 65
-            high, budget = low, PER_ROUND * rows["rows"]
-            for level, more in sorted((r["level"], r["work"]) for r in work):
-                if level >= low and (level == low or more <= budget):
-                    high, budget = max(high, level), budget - more
-                elif level > low:
-                    break
-            members = current.drop("component")
-        pairs = written(_candidates(current, low, high, percent), "pairs")
-        if sets is None:
-            shared = members.select("rep").distinct()
-            # always a merge join: the ids grow with the documents, and the plan should be the same at every size
-            needed = docs.join(shared.hint("merge"), docs["doc_id"] == shared["rep"], "left_semi")
-            sets = written(shingle_sets(needed, percent), "sets")
-        new = written(oriented(confirmed(pairs, sets, percent)), "links")
-        links = stars(new if links is None else links.union(new))
-        discard(pairs)
-        low = high + 1
-    discard(crowded, sets, current)
+    once = features.where("not again")
+    first = once.join(classes, (once["doc_id"] == classes["rep"]) & (once["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
+    own = written(first.select(F.col("doc_id").alias("rep"), "h", "n", *SKETCH, "buckets"), "classes")
+    crowded = _crowded(own)
+    # always a merge join: the ids grow with the documents, and the plan should be the same at every size
+    shared = crowded.select("rep").distinct()
+    needed = docs.join(shared.hint("merge"), docs["doc_id"] == shared["rep"], "left_semi")
+    sets = written(shingle_sets(needed, percent), "sets")
+    links = written(oriented(_repeated_ids(features, classes)), "links")
+    pairs, current, low, tests, done = written(_first_pairs(crowded, own, percent), "pairs"), crowded, 1, FIRST_TESTS, False
+    while True:
+        before, links = links, stars(written(oriented(confirmed(pairs, sets, percent).union(links.select("u", "v"))), "links"))
+        discard(before, pairs)
+        if done:
+            break
+        before, current = current, _open(current, _labels(links), own)
+        discard(before)
+        following = _next_levels(current, low, tests)
+        if following is None:
+            break
+        high, done = following
+        pairs = written(_pairs(current, low, high, percent), "pairs")
+        low, tests = high + 1, PER_ROUND
+    discard(own, sets, current)
     rows = features.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes, "digest", "left")
-    if links is not None:
-        rows = rows.join(_labels(links), "rep", "left")
-    else:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    rows = rows.withColumn("rep", F.coalesce("rep", "doc_id")).join(_labels(links), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )

@@ -135,13 +135,56 @@ def test_near_duplicates(spark, percent):
 
 
 def test_near_duplicates_in_many_rounds(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FIRST_LEVEL", 0)
-    monkeypatch.setattr(near_dedup, "PER_ROUND", 1)
+    monkeypatch.setattr(near_dedup, "FIRST_TESTS", 0)
+    monkeypatch.setattr(near_dedup, "PER_ROUND", 0)
     rows = near_rows()
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), 85).collect()}
     assert got == brute_near(rows, 85)[1]
 
 
+def alike_rows(n, rnd):
+    """Texts of one family, nearly all of them less alike than the threshold, and chains of closer ones among them."""
+    core = [f"c{i}" for i in range(60)]
+    rows = [(i, core + [f"o{i}x{j}" for j in range(rnd.randint(15, 21))]) for i in range(n)]
+    for i in range(0, n, 9):
+        rows[i] = (i, rows[i // 3][1][:-2] + [f"z{i}"])
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_group_below_the_threshold(spark, percent):
+    import numpy as np
+
+    rows = alike_rows(2000, random.Random(8))
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in words]
+    places = {s: k for k, s in enumerate({s for x in sets for s in x})}
+    table = np.zeros((len(rows), len(places)), np.float32)
+    for i, x in enumerate(sets):
+        table[i, [places[s] for s in x]] = 1
+    both = (table @ table.T).round().astype(int)
+    size = np.diag(both)
+    links = [(a, b) for a, b in np.argwhere(100 * both >= percent * (size[:, None] + size - both)).tolist() if a < b]
+    components = union_find(links, range(len(rows)))
+    assert 2 < len(set(components.values())) < len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), percent).collect()}
+    assert got == components
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black")
+    rows = [(1, b), (5, b), (5, a), (9, a), (5, ""), (20, ""), (20, c), (15, c), (30, None), (30, ""), (7, a), (7, a)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (7, 1, False), (20, 15, False), (15, 15, True), (30, 30, True)}
+
+
+def test_row_repeated_many_times(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(base))] * 400 + [(4, " ".join(base[:-1]))] * 300 + [(i, " ".join(base[1:])) for i in range(10, 40)]
+    got = [r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()]
+    assert got == [3] * 730
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     text = "a b c d e f g"
