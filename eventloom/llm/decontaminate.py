@@ -7,8 +7,8 @@ document; if so, all matched windows count, and otherwise only those with the be
 Occurrences are judged one by one, and all hits as one.
 Windows with fewer literals, and all windows with placeholders, are joined verbatim (lower case, all words) as well.
 Numbers with their unit ('5km') and names after a sentence that are names elsewhere in the text too are read both ways.
-An item is found in a document if the counting windows of an occurrence cover ``MIN_TOKENS`` tokens of it, or all
-windows of a shorter item; windows with enough literals suffice if there are fewer of them.
+An item is found in a document if the counting windows of an occurrence together cover ``MIN_TOKENS`` tokens of it, or all
+tokens of a shorter item; if its windows with enough literals cover fewer tokens than that, all of these suffice.
 
 Defined results: null or empty texts and items match nothing; an item with fewer tokens than a window is
 one window of its own length, and documents are read in windows of that length too; repeated rows are reported once per ``doc_id`` and text; a null
@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm._base import worker_state, written
@@ -179,11 +179,20 @@ def _hits(columns: list[list]) -> pa.RecordBatch:
 
 
 def _counting(hits: list[dict]) -> tuple[int, int, bool]:
-    """Windows of the item that count, those with enough literals, and whether some slot has another value."""
+    """Tokens of the item that the counting windows cover, those that windows with enough literals cover, and whether some slot has another value."""
     values: dict[str, str] = {}
     clash = any(values.setdefault(a, b) != b for h in hits for a, b in zip(h["item_slots"], h["slots"]))
     counting = [h for h in hits if not clash or h["slots"] == h["item_slots"]]
-    return len({h["item_start"] for h in counting}), len({h["item_start"] for h in counting if h["rich"]}), any(h["slots"] != h["item_slots"] for h in counting)
+    return _cover(counting), _cover(h for h in counting if h["rich"]), any(h["slots"] != h["item_slots"] for h in counting)
+
+
+def _cover(hits) -> int:
+    """Tokens of the item in the union of the hits' windows."""
+    covered = upto = 0
+    for first, size in sorted({(h["item_start"], h["size"]) for h in hits}):
+        covered += max(0, first + size - max(first, upto))
+        upto = max(upto, first + size)
+    return covered
 
 
 def _occurrences(hits: list[dict]):
@@ -219,51 +228,58 @@ def _occurrences(hits: list[dict]):
 
 
 def _counted(found: DataFrame) -> DataFrame:
-    """``matched`` and ``reparameterised`` of the occurrence that matches most, of items that are found."""
+    """``covered`` and ``reparameterised`` of the occurrence that covers most, of items that are found."""
 
     def run(batches):
         for batch in batches:
-            kept, matched, other = [], [], []
-            for i, (windows, hits, templates) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))):
-                least, least_rich = min(MIN_TOKENS - WINDOW + 1, windows), min(MIN_TOKENS - WINDOW + 1, templates or windows)
+            kept, covered, other = [], [], []
+            for i, (tokens, hits, rich_tokens) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))):
+                least, least_rich = min(MIN_TOKENS, tokens), min(MIN_TOKENS, rich_tokens or tokens)
                 narrow = [h for h in hits if not h["wider"]]
                 narrow = narrow if len(narrow) < len(hits) else []
                 enough = [(n, not changed) for n, rich, changed in map(_counting, chain(_occurrences(hits), _occurrences(narrow))) if n >= least or rich >= least_rich]
                 if enough:
                     most, unchanged = max(enough)
                     kept.append(i)
-                    matched.append(most)
+                    covered.append(most)
                     other.append(not unchanged)
             rows = batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(matched, pa.int64()), pa.array(other, pa.bool_())], [*rows.schema.names, "matched", "reparameterised"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(covered, pa.int64()), pa.array(other, pa.bool_())], [*rows.schema.names, "covered", "reparameterised"])
+
+    return found.mapInArrow(run, "doc_id long, text_key long, item_id long, tokens long, covered long, reparameterised boolean")
+
 
-    return found.mapInArrow(run, "doc_id long, text_key long, item_id long, windows long, matched long, reparameterised boolean")
+def _covers(windows: DataFrame) -> DataFrame:
+    """``item_id, tokens, rich_tokens``: tokens that the windows of each item cover, and those that windows with enough literals cover."""
+    each = windows.groupBy("item_id", "item_start").agg(F.max("size").alias("size"), F.max("rich").alias("rich"))
+    at = Window.partitionBy("item_id").orderBy("item_start")
+    gap = F.least("size", F.coalesce(F.lead("item_start").over(at) - F.col("item_start"), F.col("size")))
+    rich = each.where("rich").withColumn("gap", gap).groupBy("item_id").agg(F.sum("gap").alias("rich_tokens"))
+    return each.withColumn("gap", gap).groupBy("item_id").agg(F.sum("gap").alias("tokens")).join(rich, "item_id", "left").fillna(0, ["rich_tokens"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Items found in documents: ``doc_id, text_key, item_id, matched, windows, reparameterised``.
+    """Items found in documents: ``doc_id, text_key, item_id, covered, tokens, reparameterised``.
 
-    ``matched`` of the item's ``windows`` count; ``reparameterised`` tells that some slot has another value.
-    One pass over the texts; only hits are shuffled.
+    ``covered`` of the item's ``tokens`` count; ``reparameterised`` tells that some slot has another value.
+    One pass over the texts; only hits are shuffled, and as many rows as there are windows of items with the hash of a document's window.
     """
     spark = docs.sparkSession
     items = benchmark.selectExpr("cast(item_id as bigint) key1", "xxhash64(text) key2", "text").distinct()
     known = written(_windows(items).withColumnsRenamed({"key1": "item_id", "start": "item_start", "slots": "item_slots", "wider": "item_wider"}).drop("key2"), "benchmark")
     count = known.count()
     sizes = sorted({WINDOW, *(r["size"] for r in known.select("size").distinct().collect())})  # at most WINDOW of them
-    known = known.select("item_id", "item_start", "window", "item_slots", "rich", "item_wider")
     texts = docs.selectExpr("cast(doc_id as bigint) key1", "xxhash64(text) key2", "text")
     if count <= BROADCAST_WINDOWS:
         sorted_windows = np.unique(np.array([r["window"] for r in known.select("window").distinct().toLocalIterator()], np.int64).view(np.uint64))
-        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes).drop("rich").join(F.broadcast(known), "window")
+        hits = _windows(texts, spark.sparkContext.broadcast(sorted_windows), sizes)
     else:
-        hits = _windows(texts, sizes=sizes).drop("rich").join(known, "window")
+        hits = _windows(texts, sizes=sizes)
     keys = ["doc_id", "text_key", "item_id"]
-    found = hits.withColumnsRenamed({"key1": "doc_id", "key2": "text_key"}).groupBy(*keys).agg(F.collect_set(F.struct("start", "item_start", "slots", "item_slots", "rich", F.expr("wider or item_wider").alias("wider"))).alias("hits"))
-    sizes = known.groupBy("item_id").agg(F.count_distinct("item_start").alias("windows"), F.count_distinct(F.expr("if(rich, item_start, null)")).alias("templates"))
-    sizes = F.broadcast(sizes) if count <= BROADCAST_WINDOWS else sizes
-    found = _counted(found.join(sizes, "item_id").select(*keys, "windows", "hits", "templates"))
-    return found.select(*keys, "matched", "windows", "reparameterised")
+    hits = hits.drop("rich", "size").join(known, "window").withColumnsRenamed({"key1": "doc_id", "key2": "text_key"})
+    hit = F.struct("start", "item_start", "size", "slots", "item_slots", "rich", F.expr("wider or item_wider").alias("wider"))
+    found = hits.groupBy(*keys).agg(F.collect_set(hit).alias("hits")).join(_covers(known), "item_id")
+    return _counted(found.select(*keys, "tokens", "hits", "rich_tokens")).select(*keys, "covered", "tokens", "reparameterised")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "matched", "windows", "reparameterised")
+    return found.select("doc_id", "item_id", "covered", "tokens", "reparameterised")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
