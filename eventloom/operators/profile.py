@@ -1,7 +1,7 @@
-"""Profiles of columns: one job over all values, and one over the first values of each column.
+"""Profiles of columns: one over all values, and one over the first values of each column.
 
-Values are unpivoted to (column, value) and counted with map-side combination, so that distinct counts,
-top shares, entropy and lengths of all columns come from one shuffle, whatever their number.
+Values are unpivoted to (column, hashes of the value) and counted with map-side combination, so that distinct counts,
+top shares, entropy and lengths of all columns come from one shuffle, whatever their number and the length of their texts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from eventloom.functions.measures import SIMILARITY_STRINGS, entropy_term, kind_
 from eventloom.model import COLUMN_FEATURES, ROW_ID
 from eventloom.sources.tables import quoted
 
+#: Rows among which the first values of columns are looked for before the whole table is.
+HEAD_ROWS = 1000
 #: Longest text, in words, that does not count as long.
 MAX_WORDS = 6
 
@@ -33,17 +35,23 @@ def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``ordinal, column, value, n``, with a row for null where it occurs."""
-    return unpivoted(df, columns).groupBy("ordinal", "column", "value").agg(F.count("*").alias("n"))
+    """``ordinal, column, h1, h2, length, words, n``: how often each value of each column occurs, with a row of nulls for null.
+
+    Values are told apart by two 64-bit hashes, so that long texts are not shuffled.
+    """
+    value = F.col("value")
+    hashed = (F.when(value.isNotNull(), F.xxhash64(value)).alias("h1"), F.when(value.isNotNull(), F.xxhash64(F.lit(11), value)).alias("h2"))
+    cells = unpivoted(df, columns).select("ordinal", "column", *hashed, F.length(value).alias("length"), (word_count(value) > MAX_WORDS).alias("wordy"))
+    return cells.groupBy("ordinal", "column", "h1", "h2", "length", "wordy").agg(F.count("*").alias("n"))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row per column: rows, non-null and distinct values, top share, entropy, text lengths, share of long texts."""
     counts = value_counts(df, columns)
-    sizes = counts.groupBy("ordinal", "column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"))
+    sizes = counts.groupBy("ordinal", "column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("h1").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"))
     joined = counts.join(F.broadcast(sizes), ["ordinal", "column"])  # a row per column of the table
-    length, n = F.length("value"), F.col("n")
-    there = F.col("value").isNotNull()
+    length, n = F.col("length"), F.col("n")
+    there = F.col("h1").isNotNull()
     mean = F.sum(F.when(there, n * length)) / F.col("non_null")
     mean_square = F.sum(F.when(there, n * length * length)) / F.col("non_null")
     return joined.groupBy("ordinal", "column", "n_rows", "non_null").agg(
@@ -52,15 +60,20 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         F.coalesce(F.sum(F.when(there, entropy_term(n / F.col("non_null")))), F.lit(0.0)).alias("entropy"),
         F.sqrt(F.greatest(mean_square - mean * mean, F.lit(0.0))).alias("std_length"),
         F.coalesce(F.max(F.when(there, length)), F.lit(0)).alias("max_length"),
-        (F.coalesce(F.sum(F.when(there & (word_count(F.col("value")) > MAX_WORDS), n)), F.lit(0)) / F.col("n_rows")).alias("long_share"),
+        (F.coalesce(F.sum(F.when(there & F.col("wordy"), n)), F.lit(0)) / F.col("n_rows")).alias("long_share"),
     ).withColumn("n_unique_ratio", F.col("n_unique") / F.col("n_rows"))
 
 
 def distinct_samples(df: DataFrame, columns: list[str] | None = None, n: int = SIMILARITY_STRINGS) -> DataFrame:
-    """``ordinal, column, strings``: up to ``n`` distinct values of each column, those with the smallest hashes."""
-    window = Window.partitionBy("ordinal", "column").orderBy(F.xxhash64("value"), "value")
-    drawn = value_counts(df, columns).where("value is not null").withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n)
-    return drawn.groupBy("ordinal", "column").agg(F.sort_array(F.collect_list("value")).alias("strings"))
+    """``ordinal, column, strings``: up to ``n`` distinct values of each column, those with the smallest hashes.
+
+    The hashes are chosen first, so that the second pass shuffles the texts of the chosen values only.
+    """
+    window = Window.partitionBy("ordinal").orderBy("h1", "h2")
+    drawn = value_counts(df, columns).where("h1 is not null").select("ordinal", "h1", "h2").withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n)
+    chosen = F.broadcast(drawn.select("ordinal", "h1", "h2"))  # n rows per column of the table
+    cells = unpivoted(df, columns).where("value is not null").withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(11), "value")})
+    return cells.join(chosen, ["ordinal", "h1", "h2"], "left_semi").groupBy("ordinal", "column").agg(F.sort_array(F.collect_set("value")).alias("strings"))
 
 
 def column_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -71,17 +84,25 @@ def column_features(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def first_values(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
-    """``ordinal, column, position, value``: the first ``n`` non-null values of each column in row order."""
+    """``ordinal, column, position, value``: the first ``n`` non-null values of each column in row order.
+
+    Most columns have them among the first ``HEAD_ROWS`` rows, which one pass finds; the others (sparse ones) share a second pass.
+    """
     columns = simple_columns(df) if columns is None else columns
-    parts = []
-    for i, c in enumerate(columns):
-        first = df.select(ROW_ID, F.col(quoted(c)).cast("string").alias("value")).where("value is not null").orderBy(ROW_ID).limit(n)
-        place = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(ROW_ID))  # n rows at most
-        parts.append(first.select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), place.alias("position"), "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    place = Window.partitionBy("ordinal").orderBy(ROW_ID)
+
+    def first(rows: DataFrame, names: list[str]) -> DataFrame:
+        cells = F.array(*(F.struct(F.lit(columns.index(c)).alias("ordinal"), F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in names))
+        found = rows.select(ROW_ID, F.inline(cells)).where("value is not null")
+        return found.withColumn("position", F.row_number().over(place)).where(F.col("position") <= n).select("ordinal", "column", "position", "value")
+
+    head = df.select(ROW_ID, *(F.col(quoted(c)).cast("string").alias(c) for c in columns)).orderBy(ROW_ID).limit(HEAD_ROWS)
+    counts = head.agg(F.count("*").alias("_rows"), *(F.count(quoted(c)).alias(f"_{i}") for i, c in enumerate(columns))).first()
+    dense = [c for i, c in enumerate(columns) if counts[f"_{i}"] >= n or counts["_rows"] < HEAD_ROWS]
+    sparse = [c for c in columns if c not in dense]
+    if not sparse:
+        return first(head, dense)
+    return first(head, dense).unionAll(first(df, sparse)) if dense else first(df, sparse)
 
 
 def sample_profile(values: DataFrame) -> DataFrame:

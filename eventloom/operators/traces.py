@@ -1,8 +1,9 @@
 """Event logs: traces, variants, directly-follows edges, statistics and structural validation.
 
-One window per case gives positions and successors, so that a single exchange on the case serves every
-figure; traces are fingerprinted by two order-aware hashes instead of being held as arrays, and edges are
-counted without any array.  A very long case therefore sorts on disk and never has to fit in memory.
+The figures of a log come from one scan and one exchange on the case: windows over it give positions, successors
+and running fingerprints of the trace (two order-aware hashes instead of an array), each event then says what
+it adds (an activity, an edge, at its case's last event a variant), and these are counted with map-side
+combination.  A very long case therefore sorts on disk and never has to fit in memory; events without a case are dealt out.
 """
 
 from __future__ import annotations
@@ -109,16 +110,53 @@ def variant_counts(log: DataFrame, by_time: bool = True) -> DataFrame:
     return found.groupBy("f1", "f2", "n").agg(F.count("*").alias("cases"), F.min("case").alias("example")).select("example", "cases", F.col("n").alias("length"))
 
 
-def _per_log(df: DataFrame, by: tuple[str, ...], *aggregates: Column) -> DataFrame:
-    return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+#: Parts that events without a case are dealt into.
+DEALT = 4096
+_CASE, _EDGE, _ACT = 0, 1, 2
 
 
-def _together(parts: list[DataFrame], by: tuple[str, ...]) -> DataFrame:
-    """Put one-row-per-log frames side by side."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(by), "left") if by else out.crossJoin(part)  # one row each
-    return out
+def _figures(log: DataFrame, by: tuple[str, ...], has_time: bool, by_time: bool) -> DataFrame:
+    """Per log: ``rows, cases, events`` (with a case), ``case_acts`` (distinct activities, summed over cases), ``variants, acts, edges``."""
+    there = F.col("case").isNotNull()
+    dealt = log.withColumn("_part", F.when(~there, F.pmod(F.xxhash64(*[c for c in log.columns if c not in by]), F.lit(DEALT))))
+    keys = [*by, "case", "_part"]
+    own, timed = (Window.partitionBy(*keys).orderBy(*order) for order in (_by_time(log) if by_time else _order(log), _by_time(log)))
+    token = (F.col("act").isNull(), F.col("act"))
+    placed = dealt.withColumn("_new", (F.row_number().over(Window.partitionBy(*keys, "act").orderBy(*_order(log))) == 1).cast("long"))
+    placed = placed.withColumn("_p", F.row_number().over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull())
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumns(
+        {
+            "_f1": F.bit_xor(F.xxhash64("_p", *token)).over(upto),
+            "_f2": F.bit_xor(F.xxhash64(*token, F.col("_p") * 31 + 7)).over(upto),
+            "_d": F.sum("_new").over(upto),
+        }
+    )
+    said = lambda kind, here, k1, k2, n, d: F.when(
+        here, F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2"), n.cast("long").alias("n"), d.cast("long").alias("d"))
+    )
+    parts = [
+        said(_CASE, there & F.col("_last"), F.xxhash64("_f1", "_p"), F.col("_f2"), F.col("_p"), F.col("_d")),
+        said(_ACT, F.lit(True), F.when(F.col("act").isNotNull(), F.xxhash64("act")), F.xxhash64(F.lit(3), "act"), F.lit(0), F.lit(0)),
+    ]
+    if has_time:
+        placed = placed.withColumn("_next", F.lead(F.struct("act")).over(timed))
+        after = F.col("_next.act")
+        pair = (*token, after.isNull(), after)
+        parts.append(said(_EDGE, there & F.col("_next").isNotNull(), F.xxhash64(*pair), F.xxhash64(F.lit(3), *pair), F.lit(0), F.lit(0)))
+    said_all = placed.select(*by, F.inline(F.array_compact(F.array(*parts))))
+    counted = said_all.groupBy(*by, "kind", "k1", "k2").agg(F.count("*").alias("times"), F.sum("n").alias("n"), F.sum("d").alias("d"))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x)).cast("long")
+    found = [
+        F.coalesce(of(_ACT, F.col("times")), F.lit(0)).alias("rows"),
+        F.coalesce(of(_CASE, F.col("times")), F.lit(0)).alias("cases"),
+        of(_CASE, F.col("n")).alias("events"),
+        of(_CASE, F.col("d")).alias("case_acts"),
+        F.count_if(F.col("kind") == _CASE).alias("variants"),
+        F.count_if((F.col("kind") == _ACT) & F.col("k1").isNotNull()).alias("acts"),
+        F.count_if(F.col("kind") == _EDGE).alias("edges"),
+    ]
+    return counted.groupBy(*by).agg(*found) if by else counted.agg(*found)
 
 
 def log_statistics(df: DataFrame, spec: EventLogSpec) -> DataFrame:
@@ -126,48 +164,38 @@ def log_statistics(df: DataFrame, spec: EventLogSpec) -> DataFrame:
 
     Without a timestamp the density is null.
     """
-    log = events(df, spec)
-    parts = [
-        log.agg(F.count_distinct("act").alias("num_activities"), F.count("*").alias("_rows")),
-        variants(log).agg(F.count("*").alias("num_cases"), F.count_distinct(F.struct("f1", "f2", "n")).alias("num_variants"), F.avg("n").alias("avg_trace_length")),
-    ]
-    if spec.timestamp:
-        parts.append(dfg_edges(log).agg(F.count("*").alias("_edges")))
-    found = _together(parts, ())
-    edges = F.col("_edges") if spec.timestamp else F.lit(None)
+    found = _figures(events(df, spec), (), spec.timestamp is not None, by_time=False)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    squared = F.col("num_activities") * F.col("num_activities")
+    length = F.try_divide(F.col("events"), F.col("cases"))
+    squared = F.col("acts") * F.col("acts")
+    density = ratio(F.col("edges"), squared) if spec.timestamp else F.lit(None)
     return found.select(
-        "num_cases",
-        "num_activities",
-        "num_variants",
-        "avg_trace_length",
-        ratio(F.col("num_variants"), F.col("num_cases")).alias("variant_ratio"),
-        ratio(F.col("avg_trace_length"), F.col("num_activities")).alias("avg_events_per_case_ratio"),
-        F.when(F.lit(spec.timestamp is not None), F.coalesce(F.try_divide(edges, squared), F.lit(0.0))).cast("double").alias("dfg_density"),
-        F.try_divide(F.col("num_activities"), F.col("_rows")).alias("uniqueness"),
+        F.col("cases").alias("num_cases"),
+        F.col("acts").alias("num_activities"),
+        F.col("variants").alias("num_variants"),
+        length.alias("avg_trace_length"),
+        ratio(F.col("variants"), F.col("cases")).alias("variant_ratio"),
+        ratio(length, F.col("acts")).alias("avg_events_per_case_ratio"),
+        density.cast("double").alias("dfg_density"),
+        F.try_divide(F.col("acts"), F.col("rows")).alias("uniqueness"),
     )
 
 
 def features_of(log: DataFrame, by: tuple[str, ...] = (), has_time: bool = True, by_time: bool = True) -> DataFrame:
-    """The feature vector ``LOG_FEATURES`` of each log among events ``case, act, time``; many logs share one plan."""
-    parts = [
-        _per_log(
-            variants(log, by, by_time),
-            by,
-            F.count("*").alias("unique_case_count"),
-            F.avg("n").alias("avg_events_per_case"),
-            F.count_distinct(F.struct("f1", "f2", "n")).alias("variant_count"),
-            F.avg("n_acts").alias("avg_unique_acts_per_trace"),
-        ),
-        _per_log(log, by, F.count_distinct("act").alias("unique_activity_count"), F.count("*").alias("total_event_count")),
-    ]
-    if has_time:
-        parts.append(_per_log(dfg_edges(log, by), by, F.count("*").alias("_edges")))
-    found = _together(parts, by)
-    squared = F.col("unique_activity_count") * F.col("unique_activity_count")
-    density = F.coalesce(F.try_divide(F.col("_edges"), squared), F.lit(0.0)) if has_time else F.lit(None)
-    return found.withColumn("dfg_density", density.cast("double")).select(*by, *LOG_FEATURES, "total_event_count")
+    """The feature vector ``LOG_FEATURES`` of each log (with a case) among events ``case, act, time``; many logs share one plan."""
+    found = _figures(log, by, has_time, by_time)
+    found = found.where("cases > 0") if by else found
+    density = F.coalesce(F.try_divide(F.col("edges"), F.col("acts") * F.col("acts")), F.lit(0.0)) if has_time else F.lit(None)
+    named = {
+        "unique_case_count": F.col("cases"),
+        "unique_activity_count": F.col("acts"),
+        "avg_events_per_case": F.try_divide(F.col("events"), F.col("cases")),
+        "variant_count": F.col("variants"),
+        "avg_unique_acts_per_trace": F.try_divide(F.col("case_acts"), F.col("cases")),
+        "dfg_density": density.cast("double"),
+        "total_event_count": F.col("rows"),
+    }
+    return found.select(*by, *(named[c].alias(c) for c in (*LOG_FEATURES, "total_event_count")))
 
 
 def validated_features(df: DataFrame, spec: EventLogSpec) -> tuple[DataFrame | None, float | None, ValidationInfo]:
