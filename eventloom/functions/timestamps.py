@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,32 @@ YEARS = (2000, 2050)
 DURATION = r"^-?\d+\s+days?\s+\d{2}:\d{2}:\d{2}|^\d{2}:\d{2}:\d{2}$"
 
 
+_PARTS = re.compile(r"'([^']*)'|\[[^]]*\]|yyyy|([A-Za-z])\2*|.")
+
+
+def shape_of(pattern: str) -> str:
+    """A regular expression that every text fits which can be read under ``pattern``."""
+
+    def part(m: re.Match) -> str:
+        token = m[0]
+        if token[0] == "'":
+            return re.escape(m[1])
+        if token[0] == "[" or token[0] == "X":
+            return r"\S*"
+        if not token[0].isalpha():
+            return re.escape(token)
+        return r"[+-]?\d{4,}" if token == "yyyy" else r"[^\d\s]+" if len(token) > 2 and token[0] == "M" else r"\d+"
+
+    return f"^{_PARTS.sub(part, pattern)}$"
+
+
 def parse(text: Column) -> Column:
-    """The timestamp that a text means under the first pattern that fits, else null."""
+    """The timestamp that a text means under the first pattern that fits, else null.
+
+    A pattern is only tried on texts of its shape, since failing to parse is far slower than not to match.
+    """
     text = F.trim(text)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in PATTERNS))
+    return F.coalesce(*(F.when(text.rlike(shape_of(p)), F.try_to_timestamp(text, F.lit(p))) for p in PATTERNS))
 
 
 def as_timestamp(value: Column, kind: str) -> Column:

@@ -166,3 +166,26 @@ def test_suggestions(spark):
     )
     assert ("at", "ticket", "status") in scoring.suggest_columns(df)
     assert scoring.suggest_columns(df.drop("at")) == []
+
+
+def test_shapes_hide_no_reading(spark):
+    """Trying a pattern only on texts of its shape changes nothing."""
+    import random
+
+    from eventloom.functions import timestamps
+
+    rnd = random.Random(3)
+    moments = ["2024-03-05 07:08:09.123456", "1999-12-31 23:59:59", "2031-01-01 00:00:00"]
+    written = spark.createDataFrame([(m,) for m in moments], "m string").select(F.col("m").cast("timestamp").alias("t"))
+    forms = [p.replace("[XXX][XX][X]", z) for p in timestamps.PATTERNS for z in ("", "XXX", "X")]
+    texts = {r[0] for p in forms for r in written.select(F.date_format("t", p)).collect()}
+    texts |= {"", "x", "12", "2024-3-5", "2024-13-45", "5 Mar 2024", "March 5, 2024", "+12024-01-01", "2024-01-01T", "10:11:12", "2024-1-1 1:2", "٢٠٢٤-٠١-٠١"}
+    for text in list(texts):
+        for _ in range(3):
+            if text:
+                i = rnd.randrange(len(text))
+                texts.add(text[:i] + rnd.choice(" -/:.T0129a+") + text[i + rnd.randint(0, 1) :])
+    df = spark.createDataFrame([(x,) for x in sorted(texts)], "x string")
+    plain = F.coalesce(*(F.try_to_timestamp(F.trim("x"), F.lit(p)) for p in timestamps.PATTERNS))
+    differing = df.select("x", plain.alias("a"), timestamps.parse(F.col("x")).alias("b")).where("not a <=> b").select("x").collect()
+    assert not differing and len(texts) > 200
