@@ -5,6 +5,7 @@ Figures come from the two jobs of ``profile``; what follows is a few rules over
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -55,13 +56,15 @@ def timestamp_columns(df: DataFrame, profiles: Profiles) -> list[str]:
         c for c in profiles.whole
         if (s := profiles.sample.get(c)) and not is_duration_column(s, "duration_share_30") and (c in native or s["datetime_share"] >= DATETIME_LEAST)
     ]
-    if len(found) < 3:
-        return found
-    groups: dict[tuple, list[str]] = {}
-    for c in found:
-        s = profiles.sample[c]
-        groups.setdefault((s["first_length"], s["dashes"], s["spaces"]), []).append(c)
-    return max(groups.values(), key=len)
+    return found if len(found) < 3 else _written_alike(found, profiles)
+
+
+def _written_alike(columns: list[str], profiles: Profiles) -> list[str]:
+    """The columns whose signature (length, dashes, spaces) most of them share; of equally common ones, that of the earliest column."""
+    signature = {c: tuple(profiles.sample[c][k] for k in ("first_length", "dashes", "spaces")) for c in columns}
+    often = Counter(signature.values())
+    usual = max(often, key=often.get)  # a Counter keeps the order in which signatures were met
+    return [c for c in columns if signature[c] == usual]
 
 
 def without_datetimes(df: DataFrame, columns: list[str], timestamps: list[str], profiles: Profiles) -> list[str]:
@@ -109,7 +112,7 @@ def screen_fields(df: DataFrame, profiles: Profiles, timestamps: list[str], blac
     for c, whole in profiles.whole.items():
         sample = profiles.sample.get(c)
         text = isinstance(kinds[c], (T.StringType, T.VarcharType, T.CharType))
-        if c in copies or any(b in c.lower() for b in listed) or c.lower() in known or is_duration_column(sample):
+        if c in copies or any(b in c.lower() for b in listed) or c.lower() in known or is_duration_column(sample, "duration_share_30"):
             continue
         if not text and not (isinstance(kinds[c], T.NumericType) and not isinstance(kinds[c], T.DecimalType)):
             continue

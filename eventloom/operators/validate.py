@@ -62,6 +62,14 @@ def evaluate_combinations(df: DataFrame, cases: list[str], activities: list[str]
     return [evaluate_combination(df, c, a, time, **options) for c, a in case_activity_combinations(cases, activities)]
 
 
+def combination_results(df: DataFrame, results: list[CombinationResult]) -> DataFrame:
+    """A row per evaluated combination: its columns, share of valid traces, verdict, features, and the tests' vote."""
+    kinds = ", ".join(f"{c} double" for c in LOG_FEATURES)
+    figure = lambda r, c: None if r.features is None or r.features[c] is None else float(r.features[c])
+    rows = [(r.timestamp, r.case, r.activity, r.valid_share, r.validation.passed, r.anomaly, *(figure(r, c) for c in LOG_FEATURES)) for r in results]
+    return df.sparkSession.createDataFrame(rows, f"timestamp string, case string, activity string, valid_share double, passed boolean, anomaly boolean, {kinds}")
+
+
 def validate_event_log(
     df: DataFrame,
     candidates: list[tuple[str, str, str]] | None = None,

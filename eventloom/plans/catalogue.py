@@ -5,6 +5,7 @@ Floating-point results are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import timestamps
 from eventloom.functions.measures import min_max
-from eventloom.model import LOG_FEATURES, ROW_ID, EventLogSpec
-from eventloom.operators import classify, novelty, profile, reshape, scoring, screening, traces, validate
+from eventloom.model import COLUMN_FEATURES, LOG_FEATURES, ROW_ID, EventLogSpec
+from eventloom.operators import classify, novelty, offline, profile, reshape, scoring, screening, traces, validate
 from eventloom.plans import sql
+from eventloom.session import scratch_dir
+from eventloom.sources import tables
 
 EVENTS = EventLogSpec("user_id", "event_type", "ts", ("event_id",))
 ORDERS = EventLogSpec("o_custkey", "o_orderstatus", "o_orderdate", ("o_orderkey",))
@@ -92,7 +95,7 @@ def sorted_log(spark, sf_dir):
 def wide_events(spark, sf_dir) -> DataFrame:
     """A wide table: a user a row, the first time of each kind of event."""
     wide = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.min("ts"))
-    return wide.withColumn(ROW_ID, F.col("user_id"))
+    return wide.withColumn(ROW_ID, F.col("user_id") * 10 + 7)
 
 
 def wide_to_long(spark, sf_dir):
@@ -118,9 +121,20 @@ def table_types(spark, sf_dir):
     return spark.createDataFrame(found, "table string, kind string")
 
 
-def primary_timestamp_scores(spark, sf_dir):
-    found = profile.column_profile(wide_events(spark, sf_dir), list(EVENT_TYPES))
-    return rounded(found.select("column", (F.col("n_unique") - 0.5 * (F.col("n_rows") - F.col("non_null"))).cast("double").alias("score")))
+def primary_timestamp(spark, sf_dir):
+    wide = wide_events(spark, sf_dir)
+    return spark.createDataFrame([screening.primary_timestamp(list(EVENT_TYPES), screening.collect_profiles(wide))], "column string, score double")
+
+
+def least_null_timestamp(spark, sf_dir):
+    profiles = screening.collect_profiles(wide_events(spark, sf_dir))
+    asked = (list(EVENT_TYPES), ["signup", "error"], ["error", "signup"], ["view"])
+    return spark.createDataFrame([(",".join(names), screening.least_null_timestamp(names, profiles)) for names in asked], "asked string, column string")
+
+
+def ensure_long(spark, sf_dir):
+    long = reshape.ensure_long(wide_events(spark, sf_dir))
+    return long.select("case", "activity", F.unix_micros("timestamp").alias("micros"))
 
 
 def _keyed(spark, sf_dir, name: str, key: str) -> DataFrame:
@@ -139,10 +153,40 @@ def minmax_norm(spark, sf_dir):
     return rounded(found.select("column", min_max(F.col("entropy")).alias("entropy_scaled"), min_max(F.col("max_freq")).alias("max_freq_scaled")))
 
 
+def tickets(spark, sf_dir) -> DataFrame:
+    """An event a row, with text times, a customer of few kinds and a column that is black-listed by its name."""
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias(ROW_ID),
+        F.concat(F.lit("c"), (F.col("user_id") % 60).cast("string")).alias("customer"),
+        F.col("event_type").alias("status"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("changed"),
+        (F.col("event_id") % 7).alias("seventh"),
+        (F.col("event_id") % 5).alias("remark_code"),
+    )
+
+
+RANKED = ["customer", "status", "seventh", "remark_code"]
+
+
+def _ranked(spark, sf_dir) -> DataFrame:
+    return scoring.heuristic_scores(profile.column_features(tickets(spark, sf_dir), RANKED))
+
+
 def heuristic_scores(spark, sf_dir):
-    features = profile.column_profile(_keyed(spark, sf_dir, "orders", "o_orderkey"), PROFILED).withColumn("sim", F.lit(0.0))
-    scores = scoring.heuristic_scores(features, scoring.Weights(case_sim=0.0, act_sim=0.0))
-    return rounded(scores.select("column", "case_score", "act_score"))
+    return rounded(_ranked(spark, sf_dir).select("column", "case_score", "act_score"))
+
+
+def _top(spark, sf_dir) -> tuple[list[str], list[str]]:
+    scores = _ranked(spark, sf_dir).cache()  # a row per column
+    found = scoring.top_columns(scores, "case_score"), scoring.top_columns(scores, "act_score")
+    scores.unpersist()
+    return found
+
+
+def top_columns(spark, sf_dir):
+    rows = [(role, i, c) for role, names in zip(("case", "activity"), _top(spark, sf_dir)) for i, c in enumerate(names)]
+    return spark.createDataFrame(rows, "role string, place int, column string")
 
 
 def event_texts(spark, sf_dir) -> DataFrame:
@@ -160,6 +204,27 @@ def event_texts(spark, sf_dir) -> DataFrame:
         F.date_format("ts", "EEEE").alias("weekday"),
         F.when(F.col("event_id") % 2 == 0, "1").otherwise("1.5").alias("amount"),
         F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("sparse"),
+        # durations among the values 31 to 50 only
+        F.when(F.col("event_id").between(30, 49), F.concat(F.col("event_id").cast("string"), F.lit(" days 02:03:04"))).otherwise(F.concat("event_type", (F.col("event_id") % 3).cast("string"))).alias("late"),
+        F.concat(F.lit("r"), (F.col("event_id") % 9).cast("string")).alias("remark_code"),
+    )
+
+
+#: Patterns that times are written in, and how finely.
+WRITTEN = {
+    "yyyy-MM-dd": "day", "yyyy/MM/dd": "day", "yyyy.MM.dd": "day", "yyyyMMdd": "day", "dd/MM/yyyy": "day", "dd-MM-yyyy": "day", "dd.MM.yyyy": "day", "MMM d, yyyy": "day",
+    "d MMM yyyy": "day", "MMMM d, yyyy": "day", "d MMMM yyyy": "day", "yyyy-MM-dd'T'HH:mm:ss": "second", "yyyy/MM/dd HH:mm:ss": "second", "yyyy-MM-dd HH:mm": "minute",
+    "yyyy/MM/dd HH:mm": "minute", "dd/MM/yyyy HH:mm": "minute", "dd/MM/yyyy HH:mm:ss": "second", "dd.MM.yyyy HH:mm:ss": "second", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": "microsecond",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": "microsecond", "yyyy-MM-dd'T'HH:mm:ssXXX": "second", "yyyy-MM-dd HH:mm:ssXXX": "second",
+}
+
+
+def parsed_patterns(spark, sf_dir):
+    """Times written in many patterns: how many are recognised, and what they are read as."""
+    ts = F.col("ts").cast("timestamp")
+    e = read(spark, sf_dir, "events").select(F.inline(F.array(*(F.struct(F.lit(p).alias("pattern"), F.date_format(ts, p).alias("value")) for p in WRITTEN))))
+    return e.groupBy("pattern").agg(
+        F.count_if(timestamps.is_datetime(F.col("value"), F.lit("when"))).alias("recognised"), F.sum(F.unix_micros(timestamps.parse(F.col("value"))).cast("decimal(20,0)")).cast("string").alias("micros")
     )
 
 
@@ -182,6 +247,13 @@ def field_screening(spark, sf_dir):
     return spark.createDataFrame([(c, c in times, c in kept) for c in profiles.whole], "column string, is_timestamp boolean, kept boolean")
 
 
+def datetime_filter(spark, sf_dir):
+    df = event_texts(spark, sf_dir)
+    profiles = screening.collect_profiles(df)
+    left = screening.without_datetimes(df, list(profiles.whole), ["KIND"], profiles)
+    return spark.createDataFrame([(c,) for c in left], "column string")
+
+
 def duplicate_columns(spark, sf_dir):
     df = _keyed(spark, sf_dir, "nation", "n_nationkey").withColumn("copy_of_key", F.col("n_nationkey").cast("string")).withColumn("other", F.col("n_regionkey") + 1)
     found = screening.duplicate_columns(df)
@@ -189,7 +261,39 @@ def duplicate_columns(spark, sf_dir):
 
 
 def ca_combinations(spark, sf_dir):
-    return spark.createDataFrame(scoring.case_activity_combinations(["a", "b", "c"], ["b", "c", "d"]), "case string, activity string")
+    return spark.createDataFrame(scoring.case_activity_combinations(*_top(spark, sf_dir)), "case string, activity string")
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_scan(spark, sf_dir):
+    """Orders under standard names, through CSV files and back."""
+    path = _scratch(spark, "orders")
+    traces.standard_log(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderdate").write.csv(path, header=True)
+    df = tables.read_csv(spark, path)
+    case, activity, time = tables.resolve_log_columns(df.columns)
+    return df.select(F.col(f"`{case}`").alias("case"), F.col(f"`{activity}`").alias("act"), F.unix_micros(F.col(f"`{time}`").cast("timestamp")).alias("micros"))
+
+
+def folder_features(spark, sf_dir):
+    """Features of four folders of CSV logs, written as CSV and read again."""
+    path = _scratch(spark, "logs")
+    log = traces.standard_log(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderdate").withColumn("part", F.col("`case:concept:name`") % 4)
+    log.repartition(4, "part").write.partitionBy("part").csv(path, header=True)
+    rows = []
+    for i in range(4):
+        offline.features_from_folder(spark, f"{path}/part={i}", output=f"{path}-features/{i}")
+        rows.append(tables.read_csv(spark, f"{path}-features/{i}").select(F.lit(i).cast("long").alias("part"), *LOG_FEATURES, "total_event_count", "valid_trace_percentage"))
+    return rounded(reshape.union_all(rows).withColumns({c: F.col(c).cast("long") for c in ("unique_case_count", "unique_activity_count", "variant_count", "total_event_count")}))
+
+
+def matrix_read(spark, sf_dir):
+    """A matrix of known logs, written as CSV and read by name."""
+    path = _scratch(spark, "matrix")
+    tables.write_csv(_matrix_and_points(spark, sf_dir)[0], path)
+    return rounded(tables.read_training_matrix(spark, path))
 
 
 def offline_features(spark, sf_dir):
@@ -215,14 +319,23 @@ def novelty_vote(spark, sf_dir):
 
 def _labelled(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias(ROW_ID), F.col("user_id").alias("case:concept:name"), F.col("event_type").alias("concept:name"), (F.col("event_id") % 7).alias("seventh"), (F.col("event_id") % 3).alias("third"))
+    return e.select(
+        F.col("event_id").alias(ROW_ID), (F.col("user_id") % 60).alias("case:concept:name"), F.col("event_type").alias("concept:name"), (F.col("event_id") % 7).alias("seventh"), (F.col("event_id") % 3).alias("third")
+    )
+
+
+def column_training_set(spark, sf_dir):
+    """Features and labels of the columns of two logs."""
+    logs = _labelled(spark, sf_dir)
+    found = classify.training_set([logs.where(F.col(ROW_ID) % 2 == i) for i in range(2)], screen=False)
+    return rounded(found.select("column", "label", *COLUMN_FEATURES))
 
 
 def feature_means_by_label(spark, sf_dir):
-    found = profile.column_profile(_labelled(spark, sf_dir))
-    label = F.when(F.col("column") == "case:concept:name", "case").when(F.col("column") == "concept:name", "activity").otherwise("irrelevant")
-    kept = ("n_unique_ratio", "max_freq", "entropy", "std_length")
-    return rounded(found.withColumn("label", label).groupBy("label").agg(*(F.avg(c).alias(c) for c in kept)))
+    """Mean features of the labels, stored and read again."""
+    path = _scratch(spark, "means")
+    tables.write_means(classify.mean_features(classify.training_set([_labelled(spark, sf_dir)], screen=False)), path)
+    return rounded(tables.read_means(spark, path))
 
 
 def similarity(spark, sf_dir):
@@ -239,19 +352,30 @@ def column_classifiers(spark, sf_dir):
 
 
 def suggested_columns(spark, sf_dir):
-    found = scoring.suggest_columns(_keyed(spark, sf_dir, "events", "event_id"))
-    return spark.createDataFrame(found, "timestamp string, case string, activity string")
+    return spark.createDataFrame(scoring.suggest_columns(tickets(spark, sf_dir)), "timestamp string, case string, activity string")
+
+
+def evaluated_combinations(spark, sf_dir):
+    """Every pair of case and activity, each with its figures."""
+    df = tickets(spark, sf_dir)
+    found = validate.evaluate_combinations(df, ["customer", "seventh"], ["status", "seventh"], ["changed"])
+    return rounded(validate.combination_results(df, found).drop("anomaly"))
 
 
 def validated_log(spark, sf_dir):
-    orders = _keyed(spark, sf_dir, "orders", "o_orderkey").drop("o_orderkey", "o_totalprice")  # unique in each row, they would be the likeliest cases
-    _, found = validate.validate_event_log(orders)
+    _, found = validate.validate_event_log(tickets(spark, sf_dir))
+    return spark.createDataFrame([(c["timestamp"], c["case"], c["activity"]) for c in found], "timestamp string, case string, activity string")
+
+
+def validated_orders(spark, sf_dir):
+    """The whole validation of a table with all its columns."""
+    _, found = validate.validate_event_log(_keyed(spark, sf_dir, "orders", "o_orderkey"))
     return spark.createDataFrame([(c["timestamp"], c["case"], c["activity"]) for c in found], "timestamp string, case string, activity string")
 
 
 def candidate_tables(spark, sf_dir):
     rows = []
-    for name, df in (("events", _keyed(spark, sf_dir, "events", "event_id")), ("wide", wide_events(spark, sf_dir))):
+    for name, df in (("tickets", tickets(spark, sf_dir)), ("wide", wide_events(spark, sf_dir))):
         rows += [(name, c.path, c.timestamp) for c in reshape.candidate_tables(df)]
     return spark.createDataFrame(rows, "table string, path string, timestamp string")
 
@@ -271,9 +395,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     plain = [
         variants_topk, trace_lengths, trace_per_case, dfg_edges, valid_trace_events, dedup_case_ts, standard_log, sorted_log, wide_to_long, case_level_melt,
-        interval_gate, table_type_fill_rates, table_types, primary_timestamp_scores, column_profile, minmax_norm, heuristic_scores, recognisers, unix_ts_detect,
-        field_screening, duplicate_columns, ca_combinations, offline_features, novelty_vote, feature_means_by_label, similarity, column_classifiers,
-        suggested_columns, validated_log, candidate_tables,
+        interval_gate, table_type_fill_rates, table_types, primary_timestamp, least_null_timestamp, ensure_long, column_profile, minmax_norm, heuristic_scores, top_columns, recognisers, parsed_patterns, unix_ts_detect,
+        field_screening, datetime_filter, duplicate_columns, ca_combinations, offline_features, csv_scan, folder_features, matrix_read, novelty_vote, column_training_set, feature_means_by_label, similarity, column_classifiers,
+        suggested_columns, evaluated_combinations, validated_log, validated_orders, candidate_tables,
     ]
     return named | {f.__name__: f for f in plain}
 
