@@ -1,18 +1,19 @@
 """BPE encoding and decoding by tree concatenation.
 
-Two trees, both exact:
+Two trees, both exact, whose leaves are encoded in parallel by the tokenizers library's threads (Spark tasks share out the texts):
 
-* A long text is halved until leaves are short.  Leaves are scanned on their own (a worker's
-  threads share them out; Spark tasks share out the texts).  At each join the pieces around it are
-  scanned again in a window that doubles until its first piece equals the left side's and its last
-  piece equals the right side's.  The scanner keeps no state across a piece boundary, so from an
+* A long text is cut into leaves of equal size, each encoded on its own.  At each join the words around it are
+  encoded again in a window that doubles until its first word equals the left side's and its last
+  word equals the right side's.  The scanner keeps no state across a word boundary, so from an
   agreed boundary on both scans are the same.
-* A long piece that the pre-tokenizer does not split is halved in the same manner; leaves are
+* A long word that the pre-tokenizer does not split is cut in the same manner; leaves are
   merged on their own, and tokens around a join are merged again in a doubling window until both
   sides agree.  A sequence of tokens is the BPE encoding of its text exactly if every two
   neighbours encode to themselves; inside the window they do by construction, and at its two ends
   the agreed tokens have the neighbours that they had before.
 
+Short texts are cut into words, whose ids are remembered.
+
 Defined results: null text is empty (no ids, empty decoded text); a null ``doc_id`` stays null;
 repeated rows are encoded one by one; extra columns of the input are ignored.
 """
@@ -24,25 +25,24 @@ import heapq
 import json
 from array import array
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 from eventloom.llm._base import worker_state
 from eventloom.llm.pretokens import OUTSIDE_FAST, WORD_PIECES, byte_level
 
-#: Characters of a leaf of the text tree, symbols of a leaf of the piece tree.
-LEAF_CHARS = 8192
+#: Characters of a leaf of the text tree (texts of up to two leaves are not cut), symbols of a leaf of the word tree.
+LEAF_CHARS = 32768
 LEAF_SYMBOLS = 128
 #: Distinct short pieces that a worker remembers before it starts afresh.
 MEMO_ENTRIES = 400_000
 MEMO_PIECE_CHARS = 64
-THREADS = 2
 
 SCHEMA = "doc_id long, ids binary, decoded string"
+Word = tuple[int, int, bytes]
 
 
 class BpeCodec:
@@ -59,42 +59,56 @@ class BpeCodec:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.leaf_chars, self.leaf_symbols = leaf_chars, leaf_symbols
         self.memo = _Memo(self)
-        self.threads = ThreadPoolExecutor(THREADS)
+        #: For leaves: texts that are normalised already, and symbols inside a word, at whose end nothing is marked.
+        bare = {"added_tokens": [], "normalizer": None, "post_processor": None, "truncation": None, "padding": None}
+        whole = json.loads(tokenizer_json) | bare
+        self.scanner = Tokenizer.from_str(json.dumps(whole))
+        self.merger = Tokenizer.from_str(json.dumps(whole | {"pre_tokenizer": None, "model": whole["model"] | {"end_of_word_suffix": None}}))
 
-    # -- pieces of a text ------------------------------------------------------------------
+    # -- words of a text: their span and their ids ---------------------------------------------
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text without special strings, normalised as the library does."""
+    def words(self, text: str, first: int = 0) -> list[Word]:
+        """Words of a normalised text without special strings, which stands at ``first``."""
         if OUTSIDE_FAST.search(text):
-            text = self.tokenizer.normalizer.normalize_str(text)
-            return self._scan_tree(text, self._scan_by_library)
-        return self._scan_tree(text.lower(), WORD_PIECES.findall)
-
-    def _scan_by_library(self, text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            found = [(text[a:b], a, b) for _, (a, b) in self.scanner.pre_tokenizer.pre_tokenize_str(text)]
+        else:
+            found = [(m[0], *m.span()) for m in WORD_PIECES.finditer(text)]
+        return [(first + a, first + b, self.memo[piece]) for piece, a, b in found]
 
-    def _scan_tree(self, text: str, scan: Callable[[str], list[str]]) -> list[str]:
-        if len(text) <= self.leaf_chars:
-            return scan(text)
+    def _tree(self, text: str) -> list[Word]:
+        """Words of a long text: leaves in parallel, then joins."""
         count = 1
         while len(text) > self.leaf_chars * count:
             count *= 2
         cuts = [len(text) * i // count for i in range(count + 1)]
-        parts = list(self.threads.map(scan, [text[a:b] for a, b in zip(cuts, cuts[1:])]))
+        leaves = self.scanner.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        parts = [_words_of(leaf, a) for leaf, a in zip(leaves, cuts)]
         while len(parts) > 1:
-            parts = [_join_pieces(text, cuts[2 * i + 1], parts[2 * i], parts[2 * i + 1], scan) for i in range(len(parts) // 2)]
+            parts = [self._join_words(text, cuts[2 * i], cuts[2 * i + 2], parts[2 * i], parts[2 * i + 1]) for i in range(len(parts) // 2)]
             cuts = cuts[::2]
         return parts[0]
 
-    # -- tokens of a piece -----------------------------------------------------------------
+    def _join_words(self, text: str, start: int, end: int, left: list[Word], right: list[Word]) -> list[Word]:
+        """Words of both sides, encoded again around the cut until both sides agree."""
+        k = 4
+        while True:
+            first, last = max(0, len(left) - k), min(k, len(right))
+            a, b = left[first][0] if first else start, right[last - 1][1] if last < len(right) else end
+            middle = self.words(text[a:b], a)
+            if (not first or (middle and middle[0] == left[first])) and (last == len(right) or (middle and middle[-1] == right[last - 1])):
+                return left[:first] + middle + right[last:]
+            k *= 2
+
+    # -- tokens of a word -----------------------------------------------------------------
 
     def piece_tokens(self, piece: str) -> list[str]:
-        """Tokens of one piece; long ones by the tree."""
+        """Tokens of one word; long ones by the tree."""
         shown = byte_level(piece)
         if len(shown) <= self.leaf_symbols:
             return [t.value for t in self.tokenizer.model.tokenize(shown)]
-        symbols = [*shown[:-1], shown[-1] + self.end]
-        parts = [self._merge(symbols[i : i + self.leaf_symbols]) for i in range(0, len(symbols), self.leaf_symbols)]
+        cuts = range(0, len(shown), self.leaf_symbols)
+        leaves = self.merger.encode_batch([shown[i : i + self.leaf_symbols] for i in cuts[:-1]], add_special_tokens=False)
+        parts = [leaf.tokens for leaf in leaves] + [[t.value for t in self.tokenizer.model.tokenize(shown[cuts[-1] :])]]
         while len(parts) > 1:
             odd = parts[len(parts) // 2 * 2 :]
             parts = [self._join_tokens(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)] + odd
@@ -147,7 +161,13 @@ class BpeCodec:
             if string in text:
                 mark = array("I", [number]).tobytes()
                 return mark.join(map(self.encode, text.split(string)))
-        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+        fast = not OUTSIDE_FAST.search(text)
+        text = text.lower() if fast else self.tokenizer.normalizer.normalize_str(text)
+        if len(text) > 2 * self.leaf_chars:
+            return b"".join([ids for _, _, ids in self._tree(text)])
+        if fast:
+            return b"".join(map(self.memo.__getitem__, WORD_PIECES.findall(text)))
+        return b"".join([ids for _, _, ids in self.words(text)])
 
     def decode(self, ids: bytes) -> str:
         """As ``decode(ids, skip_special_tokens=False)`` of a file without a decoder: strings joined by spaces."""
@@ -170,22 +190,16 @@ class _Memo(dict):
         return ids
 
 
-def _join_pieces(text: str, cut: int, left: list[str], right: list[str], scan: Callable[[str], list[str]]) -> list[str]:
-    """Pieces of both sides of ``cut``, scanned again around it until both sides agree."""
-    k = 4
-    while True:
-        first, last = max(0, len(left) - k), min(k, len(right))
-        a = b = cut
-        for piece in reversed(left[first:]):
-            a = text.rfind(piece, 0, a)
-        for piece in right[:last]:
-            b = text.find(piece, b) + len(piece)
-        middle = scan(text[a:b])
-        agrees_left = first == 0 or (middle and middle[0] == left[first])
-        agrees_right = last == len(right) or (middle and middle[-1] == right[last - 1])
-        if agrees_left and agrees_right:
-            return left[:first] + middle + right[last:]
-        k *= 2
+def _words_of(leaf: Encoding, first: int) -> list[Word]:
+    """Words of an encoded leaf that stands at ``first`` in its text."""
+    found: list[Word] = []
+    ids, spans, words = leaf.ids, leaf.offsets, leaf.word_ids
+    at = 0
+    for i in range(1, len(ids) + 1):
+        if i == len(ids) or words[i] != words[at]:
+            found.append((first + spans[at][0], first + spans[i - 1][1], array("I", ids[at:i]).tobytes()))
+            at = i
+    return found
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -60,6 +60,14 @@ def test_codec_equals_the_library(codecs, libraries):
         assert codecs[0].decode(got) == libraries[1].decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_with_production_leaves(codecs, libraries):
+    rnd = random.Random(9)
+    spaced = " ".join("".join(rnd.choices("abcdeéñß'", k=rnd.randint(1, 9))) for _ in range(60000))
+    odd = " ".join(rnd.choice(["日本", "e\u0301tat", "x" * 300, "don't", "12345", "!?!"]) for _ in range(40000))
+    for text in (spaced, odd, "".join(rnd.choices("abnthe", k=100_000)), "a" * 70_001, " " * 90_000 + "x", "<|endoftext|>".join([spaced[:70_000], odd[:80_000]])):
+        assert codecs[0].encode(text) == np.array(libraries[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_queries_on_odd_rows(spark, libraries):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "x"), (2, None, None), (None, "", "y"), (3, "word " * 3000, ""), (4, "a" * 5000, "")]
     docs = spark.createDataFrame(rows, DOCS)
