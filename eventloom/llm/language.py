@@ -4,7 +4,7 @@ Words are scored by trigram log-probabilities per language.  The script of a wor
 candidates to the languages that use it.  Viterbi with a switching penalty labels each word, so that a
 text falls into spans; the language with the most letters is the prediction and its share of the letters
 the score.  Texts in which no run of words gains half a penalty against the overall best language cannot
-hold a switch, and need no trellis.
+hold a switch, and need no trellis; the trellises of the others in a batch are filled side by side.
 
 The model is learnt from a bounded sample: about ``sample`` documents per language, chosen by a hash of
 their id.
@@ -17,7 +17,6 @@ alike; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,6 +39,8 @@ UNLIKELY = -1000.0
 #: Distinct words whose scores a worker remembers, and words scored at a time.
 MEMO_WORDS = 300_000
 BLOCK = 50_000
+#: Words of texts whose trellises are filled side by side.
+TRELLIS_WORDS = 200_000
 
 # First and last code point of scripts' main ranges.
 SCRIPT_RANGES = (
@@ -53,10 +54,16 @@ SCRIPT_RANGES = (
 )
 
 
-def script_of(letter: str) -> str:
-    """Script of one letter; ``other`` outside the listed ranges."""
-    point = ord(letter)
-    return next((name for name, first, last in SCRIPT_RANGES if first <= point <= last), "other")
+SCRIPTS = sorted({name for name, _, _ in SCRIPT_RANGES} | {"other"})
+_RANGES = sorted(SCRIPT_RANGES, key=lambda r: r[1])
+_FIRSTS, _LASTS = (np.array([r[k] for r in _RANGES], np.uint32) for k in (1, 2))
+_PLACES = np.array([SCRIPTS.index(r[0]) for r in _RANGES])
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Numbers in ``SCRIPTS`` of the scripts of code points; ``other`` outside the listed ranges."""
+    at = np.maximum(np.searchsorted(_FIRSTS, points, "right") - 1, 0)
+    return np.where((points >= _FIRSTS[at]) & (points <= _LASTS[at]), _PLACES[at], SCRIPTS.index("other"))
 
 
 def letters_of(word: str) -> str:
@@ -65,10 +72,22 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def trigrams(letters: str) -> list[int]:
-    """Hash buckets of the trigrams of a word with its ends marked."""
-    marked = f"^{letters}$"
-    return [zlib.crc32(marked[i : i + 3].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of the trigrams of words (letters only, none empty) with their ends marked, the place of each word's first, and the scripts of the first letters.
+
+    Two places after each word's trigrams hold ``BUCKETS``, which stands for none.
+    """
+    points = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
+    x = points.astype(np.uint64)
+    mixed = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)) ^ (x[1:-1] << np.uint64(17))
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    buckets = np.full(len(points), BUCKETS)
+    buckets[:-2] = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
+    for k in range(2):
+        buckets[starts + sizes + k] = BUCKETS
+    return buckets, starts, scripts_of(points[starts + 1])
 
 
 @dataclass(frozen=True)
@@ -77,7 +96,7 @@ class LanguageModel:
 
     languages: tuple[str, ...]
     weights: np.ndarray
-    scripts: dict[str, np.ndarray]  # script -> True for each language that uses it
+    scripts: dict[str, np.ndarray]  # of SCRIPTS: script -> True for each language that uses it
 
 
 def learn(docs: DataFrame, usable, sample: int = SAMPLE) -> LanguageModel:
@@ -100,11 +119,18 @@ def learn(docs: DataFrame, usable, sample: int = SAMPLE) -> LanguageModel:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, counted in words.items():
-                for word, n in counted.items():
-                    if letters := letters_of(word):
-                        grams[lang, script_of(letters[0]), -1] += n * len(letters)
-                        for bucket in trigrams(letters):
-                            grams[lang, "", bucket] += n
+                lettered = [(x, n) for word, n in counted.items() if (x := letters_of(word))]
+                if not lettered:
+                    continue
+                spelt, times = [x for x, _ in lettered], np.array([n for _, n in lettered])
+                buckets, _, scripts = trigrams(spelt)
+                sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+                found = np.bincount(buckets, np.repeat(times, sizes + 2), BUCKETS + 1)[:BUCKETS]
+                for bucket in np.flatnonzero(found).tolist():
+                    grams[lang, "", bucket] += int(found[bucket])
+                spread = np.bincount(scripts, sizes * times, len(SCRIPTS))
+                for i in np.flatnonzero(spread).tolist():
+                    grams[lang, SCRIPTS[i], -1] += int(spread[i])
         keys = list(grams)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))), pa.array([grams[k] for k in keys], pa.int64())],
@@ -129,6 +155,13 @@ class Labeller:
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.weights = np.vstack([model.weights, np.zeros((1, len(model.languages)))])  # the last row is for no trigram
+        #: What a script adds to a word's scores: languages that do not use it are out, unless none does.
+        self.narrowed = np.zeros((len(SCRIPTS), len(model.languages)))
+        for i, script in enumerate(SCRIPTS):
+            uses = model.scripts.get(script)
+            if uses is not None and uses.any():
+                self.narrowed[i, ~uses] = UNLIKELY
         self._fresh()
 
     def _fresh(self) -> None:
@@ -139,27 +172,16 @@ class Labeller:
     def _learn_words(self, words: list[str]) -> None:
         if len(self.place) + len(words) > MEMO_WORDS:
             self._fresh()
-        new = [w for w in set(words) if w not in self.place]
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
         if not new:
             return
-        letters = [letters_of(w) for w in new]
-        flat, starts, rows = [], [], []
-        for i, x in enumerate(letters):
-            if x:
-                rows.append(i)
-                starts.append(len(flat))
-                flat += trigrams(x)
-        first = len(self.place)
-        if rows:
-            summed = np.add.reduceat(self.model.weights[flat], starts, axis=0)
-            for row, i in enumerate(rows):
-                uses = self.model.scripts.get(script_of(letters[i][0]))
-                if uses is not None and uses.any() and not uses.all():
-                    summed[row, ~uses] += UNLIKELY
-            self.scores[first + np.array(rows)] = summed
-        quiet = [first + i for i, x in enumerate(letters) if not x]
-        self.scores[quiet] = 0
-        self.letters[first : first + len(new)] = [len(x) for x in letters]
+        first, spelt = len(self.place), list(map(letters_of, new))
+        there = np.array([i for i, x in enumerate(spelt) if x], np.int64)
+        self.scores[first : first + len(new)] = 0
+        if len(there):
+            buckets, starts, scripts = trigrams([spelt[i] for i in there])
+            self.scores[first + there] = np.add.reduceat(self.weights[buckets], starts, axis=0) + self.narrowed[scripts]
+        self.letters[first : first + len(new)] = np.fromiter(map(len, spelt), np.int64, len(new))
         self.place.update(zip(new, range(first, first + len(new))))
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -174,34 +196,70 @@ class Labeller:
             return np.zeros((0, len(self.model.languages))), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def label(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Language number of each word, and its letters."""
-        scores, letters = self.words(text or "")
-        if not len(scores) or not self.model.languages:
-            return np.zeros(len(scores), np.int64), letters
-        best = int(scores.sum(axis=0).argmax())
-        gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-        lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if (gain[0] <= SWITCH / 2).all() and (gain[1:] - lowest[:-1] <= SWITCH / 2).all():
-            return np.full(len(scores), best), letters
-        return viterbi(scores), letters
-
-
-def viterbi(scores: np.ndarray) -> np.ndarray:
-    """Best path of states under per-step scores and one penalty for any change."""
-    n, states = scores.shape
-    back = np.zeros((n, states), np.int32)
-    value, own = scores[0].copy(), np.arange(states)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - SWITCH > value
-        back[t] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - SWITCH, value) + scores[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Language number of each word, and its letters, of each text."""
+        out, open_, size = [], [], 0
+        for text in texts:
+            scores, letters = self.words(text or "")
+            if not len(scores) or not self.model.languages:
+                out.append((np.zeros(len(scores), np.int64), letters))
+                continue
+            best = int(scores.sum(axis=0).argmax())
+            gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
+            lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+            out.append((np.full(len(scores), best), letters))
+            if (gain[0] > SWITCH / 2).any() or (gain[1:] - lowest[:-1] > SWITCH / 2).any():
+                open_.append((len(out) - 1, scores))
+                size += len(scores)
+            if size > TRELLIS_WORDS:
+                self._fill(out, open_)
+                open_, size = [], 0
+        self._fill(out, open_)
+        return out
+
+    @staticmethod
+    def _fill(out: list, open_: list) -> None:
+        for (i, _), path in zip(open_, viterbi([scores for _, scores in open_])):
+            out[i] = (path, out[i][1])
+
+
+def viterbi(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Best paths of states under per-step scores and one penalty for any change, of several texts at once.
+
+    Step by step all texts that have that many words move on together, the longest first.
+    """
+    if not texts:
+        return []
+    lengths = np.array([len(t) for t in texts])
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    scores = np.concatenate([texts[i] for i in order])
+    own = np.arange(scores.shape[1], dtype=np.int32)
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]))  # texts longer than t words
+    value, ends, backs = scores[offsets].copy(), np.zeros(len(texts), np.int64), []
+    for t in range(1, int(lengths[0])):
+        k, before = int(live[t]), len(value)
+        if k < before:
+            ends[k:before] = value[k:].argmax(axis=1)
+            value = value[:k]
+        top = value.argmax(axis=1)
+        switched = (value[np.arange(k), top] - SWITCH)[:, None]
+        change = switched > value
+        backs.append(np.where(change, top[:, None].astype(np.int32), own))
+        value = np.where(change, switched, value) + scores[offsets[:k] + t]
+    ends[: len(value)] = value.argmax(axis=1)
+    paths = np.empty(len(scores), np.int64)
+    state = ends.copy()
+    for t in range(int(lengths[0]) - 1, 0, -1):
+        k = int(live[t])
+        paths[offsets[:k] + t] = state[:k]
+        state[:k] = backs[t - 1][np.arange(k), state[:k]]
+    paths[offsets] = state
+    out: list = [None] * len(texts)
+    for i, a, n in zip(order.tolist(), offsets.tolist(), lengths.tolist()):
+        out[i] = paths[a : a + n]
+    return out
 
 
 SPANS = "doc_id long, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
@@ -216,8 +274,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         names = labeller.model.languages
         for batch in batches:
             found, scores, spans = [], [], []
-            for text in batch.column(1).to_pylist():
-                path, letters = labeller.label(text)
+            for path, letters in labeller.label(batch.column(1).to_pylist()):
                 total = letters.sum()
                 if not total or not names:
                     found.append("und")

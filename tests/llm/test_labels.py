@@ -28,8 +28,8 @@ def viterbi_brute(scores, penalty):
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(5)
     for _ in range(30):
-        scores = rng.normal(size=(7, 3)) * 20
-        assert language.viterbi(scores).tolist() == viterbi_brute(scores, language.SWITCH)
+        texts = [rng.normal(size=(rng.integers(1, 8), 3)) * 20 for _ in range(rng.integers(1, 5))]
+        assert [p.tolist() for p in language.viterbi(texts)] == [viterbi_brute(t, language.SWITCH) for t in texts]
 
 
 def test_shortcut_agrees_with_viterbi():
@@ -38,9 +38,30 @@ def test_shortcut_agrees_with_viterbi():
     for _ in range(300):
         scores = rng.normal(size=(12, 3)) * rng.choice([1, 5, 12])
         labeller.words = lambda text, s=scores: (s, np.ones(len(s), np.int64))
-        path, _ = labeller.label("x")
+        [(path, _)] = labeller.label(["x"])
         value = lambda p: sum(scores[t, s] for t, s in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
-        assert value(path) == pytest.approx(value(language.viterbi(scores)))
+        assert value(path) == pytest.approx(value(language.viterbi([scores])[0]))
+
+
+def test_word_scores_against_single_trigrams():
+    """A word's scores are the sum over its trigrams, taken one at a time, and what its script adds."""
+    rng, words = np.random.default_rng(4), ["the", "Größe,", "être", "быстрая", "a", "x1y", "ß", "漢字", "---", "𐐀b"]
+    weights = rng.normal(size=(language.BUCKETS, 2))
+    labeller = language.Labeller(language.LanguageModel(("p", "q"), weights, {"latin": np.array([True, False]), "cyrillic": np.array([False, True]), "han": np.array([True, True])}))
+    got, letters = labeller.words(" ".join(words))
+    for word, scores, n in zip(words, got, letters):
+        spelt = language.letters_of(word)
+        assert n == len(spelt)
+        expected = np.zeros(2)
+        for i in range(len(spelt)):
+            triple = f"^{spelt}$"[i : i + 3]
+            bucket = next(b for b in language.trigrams([triple])[0][1:2])  # the middle trigram of ^abc$ is abc itself
+            expected += weights[bucket]
+        first = spelt[:1]
+        if first:
+            script = next((name for name, a, b in language.SCRIPT_RANGES if a <= ord(first) <= b), "other")
+            expected += {"latin": [0, language.UNLIKELY], "cyrillic": [language.UNLIKELY, 0]}.get(script, [0, 0])
+        assert scores == pytest.approx(expected)
 
 
 SENTENCES = {
