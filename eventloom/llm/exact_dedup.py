@@ -12,7 +12,8 @@ makes up a third of all rows reaches its shard as a few rows.
 
 Defined results: null text equals empty text; ``keep_id`` is the largest ``doc_id`` of the group, nulls
 being smaller than any id; repeated rows with the same ``doc_id`` and text cannot be told apart and all
-count as kept; a group of null ids only has a null ``keep_id`` and stays whole; extra columns are ignored.
+count as kept; a group of null ids only has a null ``keep_id`` and counts as kept; :func:`drop_exact_duplicates` leaves one of such
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from eventloom.llm._base import written
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Rows that a shard is meant for: the number of shards grows with the table, so that a task's index does not.
+SHARD_ROWS = 50_000
 
 
 class CuckooFilter:
@@ -147,8 +150,12 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest binary")
 
 
+def _shards(rows: int) -> int:
+    return max(1, -(-rows // SHARD_ROWS))
+
+
 def build_index(digests: DataFrame) -> DataFrame:
-    """The index over ``doc_id, digest`` rows: ``digest, keep_id, group_size``, built shard by shard."""
+    """The index over ``doc_id, digest`` rows (a written table, since its rows are counted first): ``digest, keep_id, group_size``, built shard by shard."""
 
     def combine(batches):
         for batch in batches:
@@ -174,15 +181,14 @@ def build_index(digests: DataFrame) -> DataFrame:
         yield _rows(found)
 
     schema = "digest binary, keep_id long, group_size long"
-    return digests.select("doc_id", "digest").mapInArrow(combine, schema).repartition("digest").mapInArrow(shard, schema)
+    return digests.select("doc_id", "digest").mapInArrow(combine, schema).repartition(_shards(digests.count()), "digest").mapInArrow(shard, schema)
 
 
 def update_index(index: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """Apply deletions (``digest``), then additions (``doc_id, digest``), to an index; returns the new index."""
+    """Apply deletions (``digest``), then additions (``doc_id, digest``), to an index (written tables); returns the new index."""
 
     def shard(batches):
         live = CuckooIndex()
-        later: list[tuple] = []
         for batch in batches:  # an index row comes before changes to it: rows are sorted by step
             for step, digest, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if step == 1:
@@ -199,7 +205,7 @@ def update_index(index: DataFrame, deleted: DataFrame, added: DataFrame) -> Data
         .unionByName(added.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("step", F.lit(2)))
         .select("step", "digest", "doc_id", "n")
     )
-    return steps.repartition("digest").sortWithinPartitions("digest", "step").mapInArrow(shard, "digest binary, keep_id long, group_size long")
+    return steps.repartition(_shards(index.count() + added.count()), "digest").sortWithinPartitions("digest", "step").mapInArrow(shard, "digest binary, keep_id long, group_size long")
 
 
 def _rows(items: list[tuple]) -> pa.RecordBatch:
@@ -226,13 +232,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that stay (see :func:`exact_duplicates`).
+    """Rows of ``docs``, with all their columns, that stay (see :func:`exact_duplicates`), one for each text.
 
-    The anti-join is on ``doc_id`` and the row's digest, so a repeated ``doc_id`` with another text is another row.
+    The anti-join is on ``doc_id`` and the row's digest, so a repeated ``doc_id`` with another text is another row.  Rows that
+    repeat both (or have null ids only) are looked for among ids and digests; texts are shuffled for them only if there are any.
     """
-    gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    own = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (own == gone["_gone_sha"]), "left_anti")
+    found = written(exact_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "found")
+    marked = docs.withColumn("_own_sha", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    same = lambda other: F.col("doc_id").eqNullSafe(other["_id"]) & (F.col("_own_sha") == other["_sha"])
+    gone = found.where("not kept").select("_id", "_sha")
+    rest = marked.join(gone, same(gone), "left_anti")
+    repeated = written(found.where("kept").groupBy("_id", "_sha").count().where(F.col("count") > 1).select("_id", "_sha"), "repeated")
+    if not repeated.isEmpty():
+        once = rest.join(repeated, same(repeated), "left_semi").dropDuplicates(["_own_sha"])
+        rest = rest.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return rest.select(*docs.columns)
 
 
 def ascii_lower(column):

@@ -77,10 +77,25 @@ def test_exact_duplicates(spark):
     assert sorted(map(str, got)) == sorted(map(str, expected))
     stays = exact_dedup.drop_exact_duplicates(frame(spark, rows))
     assert stays.columns == ["doc_id", "text", "kept", "rep"]
-    assert sorted(str(r["doc_id"]) for r in stays.collect()) == sorted(str(e[0]) for e in expected if e[3])
+    assert sorted(map(str, {(e[0], e[4]) for e in expected if e[3]})) == sorted(str((r["doc_id"], hashlib.sha256(norm(r["text"])).hexdigest())) for r in stays.collect())
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
 
 
+def test_shards_grow_with_the_table(spark, monkeypatch):
+    rows = exact_rows()
+    expected = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 25)
+    digests = exact_dedup.text_digests(frame(spark, rows)).cache()
+    assert exact_dedup.build_index(digests).rdd.getNumPartitions() == -(-len(rows) // 25)
+    assert sorted(map(str, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == expected
+
+
+def test_one_row_stays_of_each_text(spark):
+    rows = [(7, "twice"), (7, "TWICE"), (None, "lost"), (None, "lost"), (None, "Lost"), (1, None), (1, ""), (3, "single"), (3, "other")]
+    left = exact_dedup.drop_exact_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in left) == [("1", ""), ("3", "other"), ("3", "single"), ("7", "twice"), ("None", "lost")]
+
+
 def test_index_updates(spark):
     digest = lambda t: hashlib.sha256(t.encode()).digest()
     index = exact_dedup.build_index(exact_dedup.text_digests(frame(spark, [(1, "a"), (2, "b"), (3, "a")])))
