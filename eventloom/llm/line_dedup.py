@@ -31,9 +31,8 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return exploded.where("line <> ''").select("doc_id", "text_key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), "site")
 
 
-def boilerplate_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """``h1, h2`` of the lines on at least ``sites`` distinct sites."""
-    lines = _lines(docs, site)
+def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
+    """``h1, h2`` of those of the ``lines`` (``h1, h2, site``) that are on at least ``sites`` distinct sites."""
     low, high = sites * (1 - NEAR), sites * (1 + NEAR)
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS))
     spread = lines.where("site is not null").groupBy("h1", "h2").agg(sketch.alias("estimate"))
@@ -44,18 +43,23 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", sites: int = SITES)
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, text`` (without boilerplate lines), ``n_lines, n_removed``."""
-    found = written(boilerplate_lines(docs, site, sites), "boilerplate")
-    hits = _lines(docs, site).join(found, ["h1", "h2"], "left_semi")
+    """Per row of ``docs``: ``doc_id, text`` (without boilerplate lines), ``n_lines, n_removed``.
+
+    Lines are cut and hashed once, into a table of hashes and places that all later steps read.
+    """
+    lines = written(_lines(docs, site), "lines")
+    found = written(boilerplate_lines(lines, sites), "boilerplate")
+    hits = lines.select("doc_id", "text_key", "pos", "h1", "h2").join(found, ["h1", "h2"], "left_semi")
     dropped = hits.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))  # at most a document's lines
     dropped = dropped.withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"})
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
     joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", i))
+    # in proportion to the lines: places that stay by a hash set, and the lines there by their places
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda p: F.get("lines", p)))
     return joined.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.coalesce(F.size(F.filter(lines, lambda line: line != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.array_join(kept, "\n").alias("text"),
+        F.coalesce(F.size(F.filter("lines", lambda line: line != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
