@@ -2,13 +2,13 @@
 
 Distances, neighbours and densities are DataFrame expressions; the matrix is a small table (a row per known
 log), so that Spark broadcasts it by its size.  The isolation forest and the one-class machine are fitted
-on the collected matrix, whose rows are bounded by ``MATRIX_ROWS``.
+on the driver from the collected matrix, in memory in proportion to its rows: at most ``MATRIX_ROWS``, each a whole known log.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from eventloom.functions.measures import z_score
 from eventloom.model import LOG_FEATURES
 
 MATRIX_ROWS = 100_000
+#: Rows of the one-class machine's kernel that are held at a time.
+KERNEL_ROWS = 256
 LOF_NEIGHBOURS = 4
 LOF_LIMIT = 1.5
 NEAREST_LIMIT = 0.6
@@ -125,23 +127,27 @@ def fit_one_class(x: np.ndarray, nu: float = NU, rounds: int = 20_000) -> tuple[
     The dual is solved by moving weight between the pair that violates the optimality conditions most.
     """
     n, gamma = len(x), 1.0 / (x.shape[1] * (x.var() or 1.0))
-    kernel = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(-1))
+    squares = (x * x).sum(axis=1)
+    # rows of the kernel are worked out when they are needed: the whole of it would grow with the square of the rows
+    kernel = lru_cache(maxsize=KERNEL_ROWS)(lambda i: np.exp(-gamma * np.maximum(squares + squares[i] - 2 * (x @ x[i]), 0)))
     limit = 1.0 / (nu * n)
     alpha = np.zeros(n)
     whole = int(nu * n)
     alpha[:whole] = limit
     if whole < n:
         alpha[whole] = 1 - limit * whole
-    slope = kernel @ alpha
+    slope = np.zeros(n)
+    for i in np.flatnonzero(alpha).tolist():
+        slope += alpha[i] * kernel(i)
     for _ in range(rounds):
         up, down = np.where(alpha < limit - 1e-12, slope, np.inf), np.where(alpha > 1e-12, slope, -np.inf)
         i, j = int(up.argmin()), int(down.argmax())
         if slope[j] - slope[i] < 1e-8:
             break
-        step = min((slope[j] - slope[i]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12), limit - alpha[i], alpha[j])
+        step = min((slope[j] - slope[i]) / max(2 - 2 * kernel(i)[j], 1e-12), limit - alpha[i], alpha[j])
         alpha[i] += step
         alpha[j] -= step
-        slope += step * (kernel[i] - kernel[j])
+        slope += step * (kernel(i) - kernel(j))
     free = (alpha > 1e-9) & (alpha < limit - 1e-9)
     offset = float(slope[free].mean()) if free.any() else float((slope[alpha > 1e-9].max() + slope[alpha < 1e-9].min()) / 2) if (alpha < 1e-9).any() else float(slope.max())
     held = alpha > 1e-9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from itertools import product
 
@@ -13,6 +14,7 @@ from eventloom.operators.profile import column_features
 from eventloom.operators.screening import DEFAULT_BLACKLIST, collect_profiles, least_null_timestamp, screen_fields, timestamp_columns, without_datetimes
 from eventloom.sources.tables import first_rows
 
+log = logging.getLogger(__name__)
 SAMPLE_ROWS = 1000
 
 
@@ -64,8 +66,12 @@ def suggest_columns(
     """Combinations ``(timestamp, case, activity)`` worth a closer look, from the first ``SAMPLE_ROWS`` rows.
 
     ``baseline`` ranks by :func:`heuristic_scores`; with ``classifiers`` (see ``classify``) columns are ranked by
-    their probabilities, and the best comes last, as ``k`` largest in ascending order.
+    their probabilities, and the best comes last, as ``k`` largest in ascending order.  Another method without classifiers
+    falls back to ``baseline``, with a warning.
     """
+    if method != "baseline" and classifiers is None:
+        log.warning("there are no classifiers for method %r: columns are ranked by the heuristic", method)
+        method = "baseline"
     sample = first_rows(df, SAMPLE_ROWS).cache()  # SAMPLE_ROWS rows at most
     try:
         profiles = collect_profiles(sample)
@@ -80,11 +86,9 @@ def suggest_columns(
         if method == "baseline":
             scores = heuristic_scores(features, weights).cache()
             cases, activities = top_columns(scores, "case_score"), top_columns(scores, "act_score")
-        elif classifiers is not None:
+        else:
             scores = classifiers.score(features).cache()
             cases, activities = top_columns(scores, "p_case", case_k)[::-1], top_columns(scores, "p_activity", act_k)[::-1]
-        else:
-            return []
         scores.unpersist()
         best = least_null_timestamp(timestamps, profiles)
         return [(best, c, a) for c, a in case_activity_combinations(cases, activities) if best not in (c, a)]

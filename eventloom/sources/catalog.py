@@ -78,10 +78,14 @@ def zenodo_provider(get: Callable[..., Any] | None = None) -> Provider:
             log.warning("the search failed: %s", error)
             return
         for hit in hits:
-            ref = str(hit["id"])
-            for f in hit.get("files", ()):
-                links[ref, f["key"]] = f["links"]["self"]
-            yield Listing(ref, hit.get("metadata", {}).get("title", ""), tuple(f["key"] for f in hit.get("files", ())))
+            try:
+                ref, files = f"zenodo__{hit['id']}", {f["key"]: f["links"]["self"] for f in hit.get("files", ())}
+                listing = Listing(ref, (hit.get("metadata") or {}).get("title", ""), tuple(files))
+            except (KeyError, TypeError, AttributeError) as error:
+                log.warning("a record without %s is passed over", error)
+                continue
+            links.update({(ref, name): link for name, link in files.items()})
+            yield listing
 
     def fetch(listing: Listing, name: str, folder: Path) -> str:
         target = folder / listing.ref / Path(name).name
@@ -119,9 +123,9 @@ def kaggle_provider(client: Any = None) -> Provider:
             yield Listing(d.ref, d.title, files)
 
     def fetch(listing: Listing, name: str, folder: Path) -> str:
-        target = folder / listing.ref.replace("/", "_")
+        target = folder / listing.ref.replace("/", "__")
         target.mkdir(parents=True, exist_ok=True)
-        api().dataset_download_files(listing.ref, path=str(target), unzip=True)
+        api().dataset_download_file(listing.ref, name, path=str(target), force=True, quiet=True)
         return str(target / name)
 
     return Provider(listings, fetch)
@@ -141,7 +145,10 @@ def search_data_platform(term: str, platform: str = "kaggle", download_dir: str
 
 
 class DatasetSource(DataSource):
-    """``spark.read.format("dataset_search")`` with options ``term``, ``platform``, ``download_dir`` and ``topn``."""
+    """``spark.read.format("dataset_search")`` with options ``term``, ``platform``, ``download_dir`` and ``topn``.
+
+    A task downloads the files, so ``download_dir`` has to be given: an absolute folder that the driver and all executors share.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -156,6 +163,8 @@ class DatasetSource(DataSource):
 
 class _DatasetReader(DataSourceReader):
     def __init__(self, options):
+        if not Path(options.get("download_dir", "")).is_absolute():
+            raise ValueError("download_dir has to be an absolute folder that the driver and all executors share")
         self.options = options
 
     def partitions(self) -> list[InputPartition]:

@@ -1,7 +1,7 @@
 """Statistics of a growing event log.
 
-Counts per case, activities and directly-follows edges are kept as additive tables: each micro-batch is
-combined on its own and merged into the state folder, so late events of a case only add to it.
+Counts per case and activity are kept as additive tables: each micro-batch is combined on its own and
+added to the state folder, so late events of a case only add to it.  Edges and variants, which need a case's order, are not kept.
 """
 
 from __future__ import annotations

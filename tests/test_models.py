@@ -63,6 +63,19 @@ def test_one_class_machine_solves_its_dual():
     assert weights.sum() == pytest.approx(1) and weights.max() <= 1 / (0.05 * 60) + 1e-9
     outside = sum(kernel(p) < offset - 1e-6 for p in x)
     assert outside <= 0.05 * 60
+    # at the optimum no weight can move downhill: free vectors lie on the boundary, full ones outside it
+    own = np.array([kernel(v) for v in vectors])
+    free = weights < 1 / (0.05 * 60) - 1e-9
+    assert own[free] == pytest.approx(offset, abs=1e-6) and (own[~free] <= offset + 1e-6).all()
+
+
+def test_other_methods_fall_back_without_classifiers(spark, caplog):
+    from eventloom.operators import scoring
+    from eventloom.plans import catalogue
+
+    df = catalogue.tickets(spark, "/root/testdata/sf0.001")
+    assert scoring.suggest_columns(df, method="rf") == scoring.suggest_columns(df)
+    assert "no classifiers" in caplog.text
 
 
 def test_small_and_constant_matrices(spark, logs):

@@ -74,7 +74,7 @@ class FakeReply:
 
 def test_zenodo(tmp_path):
     files = lambda *names: [{"key": n, "links": {"self": f"http://x/{n}"}} for n in names]
-    hits = [{"id": 1, "metadata": {"title": "one"}, "files": files("a.csv", "b.txt")}, {"id": 2, "files": files("a.csv", "b.csv")}, {"id": 3, "files": files("bad.csv")}, {"id": 4, "files": files("d.CSV")}, {"id": 5, "files": files("e.csv")}]
+    hits = [{"files": files("no_id.csv")}, {"id": 9, "files": [{"key": "no_link.csv"}]}, None, {"id": 1, "metadata": {"title": "one"}, "files": files("a.csv", "b.txt")}, {"id": 2, "files": files("a.csv", "b.csv")}, {"id": 3, "files": files("bad.csv")}, {"id": 4, "files": files("d.CSV")}, {"id": 5, "files": files("e.csv")}]
 
     def get(url, **options):
         if url.endswith("records"):
@@ -85,7 +85,8 @@ def test_zenodo(tmp_path):
         return FakeReply(chunks=[b"a,b\n", b"1,2\n"])
 
     found = catalog.search_data_platform("logs", "ZENODO", str(tmp_path), topn=2, client=get)
-    assert [d.ref for d in found] == ["1", "4"] and open(found[0].csv_path).read() == "a,b\n1,2\n"
+    assert [(d.ref, d.title) for d in found] == [("zenodo__1", "one"), ("zenodo__4", "")] and open(found[0].csv_path).read() == "a,b\n1,2\n"
+    assert found[0].csv_path == str(tmp_path / "zenodo__1" / "a.csv")
 
 
 def test_zenodo_search_failure(tmp_path):
@@ -97,18 +98,26 @@ def test_zenodo_search_failure(tmp_path):
 
 def test_kaggle(tmp_path, spark):
     sets = {"u/one": ["a.csv"], "u/two": ["a.csv", "b.csv"], "u/three": ["c.csv", "readme.md"]}
+    fetched: list = []
     client = SimpleNamespace(
         dataset_list=lambda **k: [SimpleNamespace(ref=r, title=r) for r in sets],
         dataset_list_files=lambda ref: SimpleNamespace(files=[SimpleNamespace(name=n) for n in sets[ref]]),
-        dataset_download_files=lambda ref, path, unzip: None,
+        dataset_download_file=lambda ref, name, path, force, quiet: fetched.append((ref, name)),
     )
     found = catalog.search_data_platform("logs", "Kaggle", str(tmp_path), client=client)
-    assert [d.ref for d in found] == ["u/one", "u/three"]
+    assert [d.ref for d in found] == ["u/one", "u/three"] and fetched == [("u/one", "a.csv"), ("u/three", "c.csv")]
+    assert found[0].csv_path == str(tmp_path / "u__one" / "a.csv")
     assert catalog.catalog(spark, found).count() == 2
     with pytest.raises(ValueError):
         catalog.search_data_platform("logs", "elsewhere", str(tmp_path))
 
 
+def test_the_data_source_needs_a_shared_folder():
+    for options in ({"term": "x"}, {"term": "x", "download_dir": "datasets"}):
+        with pytest.raises(ValueError):
+            catalog.DatasetSource(options).reader(None)
+
+
 def test_streaming(spark, tmp_path):
     spec = EventLogSpec("c", "a", "t", ())
     source = tmp_path / "in"
