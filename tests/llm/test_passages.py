@@ -216,3 +216,33 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, sf_dir), "test")
     assert docs.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows, shared ids and clashing columns through all stages in turn."""
+    rnd = random.Random(21)
+    vocabulary = [w.capitalize() if i % 9 == 0 else w for i, w in enumerate(words(rnd, 400).split())]
+
+    def prose(n):
+        return "\n".join(" ".join(rnd.choice(vocabulary) for _ in range(12)) + "." for _ in range(n))
+
+    base, item = prose(12), spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(i, prose(rnd.randint(5, 9))) for i in range(60)]
+    rows += [(100, base), (101, base), (101, base), (None, base), (102, base.upper().lower()), (103, base + " tail."), (104, None), (104, ""), (None, None), (105, "  "), (106, prose(3000))]
+    rows += [(200, prose(6)), (200, prose(6)), (None, rows[0][1] + " more words here."), (300, prose(4) + "\n" + item + "\n" + prose(4)), (301, "BUY!! NOW!! $$$ ### " * 30), (302, "BUY!! NOW!! $$$ ### " * 31)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id string, _sha string, h long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, True, "clash", "clash", 3) for i, t in rows], kinds)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == kinds.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
+        seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    good = {i for i, _ in seen[0]}
+    assert all(t and t.strip() for _, t in seen[0]) and {301, 302}.isdisjoint(good) and set(range(60)) <= good and {100, 101, 106, 200, 300} <= good
+    texts = [t.lower() for _, t in seen[1]]
+    assert len(texts) == len(set(texts)) and [i for i, t in seen[1] if t.lower() == base.lower()] == [102]
+    left = [i for i, _ in seen[2]]
+    assert 102 in left and 103 not in left and left.count(200) == 2 and None in left
+    assert 300 not in [i for i, _ in seen[3]] and len(seen[3]) == len(seen[2]) - 1
+    out = corpus_pipeline.encoding(spark, docs, sf_dir).collect()
+    assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(i) for i, _ in seen[3])
