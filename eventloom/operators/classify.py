@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.measures import z_score
 from eventloom.model import COLUMN_FEATURES, STANDARD_ACTIVITY, STANDARD_CASE
+from eventloom.operators import svm
 from eventloom.operators.profile import column_features
 from eventloom.operators.reshape import union_all
 from eventloom.operators.screening import collect_profiles, screen_fields, timestamp_columns
@@ -23,8 +24,6 @@ from eventloom.sources.tables import list_csv, read_csv
 SEED = 42
 NEIGHBOURS = 5
 TRAINING_ROWS = 1000
-#: Training rows that serve as centres of the Gaussian features of ``svm``.
-CENTRES = 100
 METHODS = ("logistic", "tree", "rf", "gb", "svm")
 
 
@@ -90,79 +89,77 @@ def _estimator(method: str, params: dict):
         "tree": lambda: DecisionTreeClassifier(**common, **({"seed": SEED, "maxDepth": 30} | params)),
         "rf": lambda: RandomForestClassifier(**common, **({"seed": SEED, "numTrees": 100} | params)),
         "gb": lambda: GBTClassifier(**common, **({"seed": SEED, "maxIter": 100, "maxDepth": 3} | params)),
-        "svm": lambda: LogisticRegression(**common, **({"maxIter": 1000, "regParam": 0.001} | params)),
     }
-    if method not in kinds:
-        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     return kinds[method]()
 
 
 @dataclass
 class ColumnClassifiers:
-    """Means and deviations of the features, centres of Gaussian features (``svm``), and a model per role."""
+    """Means and deviations of the features, and a model per role: a pipeline on z-scores, or support vectors (``svm``)."""
 
     method: str
     means: list[float]
     deviations: list[float]
-    centres: list[list[float]]
-    case: Model
-    activity: Model
+    case: Model | svm.SupportVectors | None
+    activity: Model | svm.SupportVectors | None
 
     def scaled(self, features: DataFrame) -> DataFrame:
+        """With the z-scores of the features."""
         return features.withColumns({f"z_{c}": z_score(F.col(c), F.lit(m), F.lit(d)) for c, m, d in zip(COLUMN_FEATURES, self.means, self.deviations)})
 
-    def inputs(self, features: DataFrame) -> DataFrame:
-        """With the columns that the models read: z-scores, or Gaussian similarities to the centres."""
-        scaled = self.scaled(features)
-        if not self.centres:
-            return scaled
-        gamma = 1.0 / len(COLUMN_FEATURES)
-        near = {}
-        for i, centre in enumerate(self.centres):
-            squared = reduce(lambda a, b: a + b, ((F.col(f"z_{c}") - v) * (F.col(f"z_{c}") - v) for c, v in zip(COLUMN_FEATURES, centre)))
-            near[f"g_{i}"] = F.exp(-gamma * squared)
-        return scaled.withColumns(near)
-
     def score(self, features: DataFrame) -> DataFrame:
         """``ordinal, column, p_case, p_activity``."""
-        rows = self.inputs(features)
+        rows = self.scaled(features)
         keep = ["ordinal", "column"]
+        if self.method == "svm":
+            inputs = F.array(*(F.col(f"z_{c}") for c in COLUMN_FEATURES))
+            return rows.select(*keep, self.case.probability(inputs).alias("p_case"), self.activity.probability(inputs).alias("p_activity"))
         case = self.case.transform(rows).select(*keep, vector_to_array("probability")[1].alias("p_case"))
         activity = self.activity.transform(rows).select(*keep, vector_to_array("probability")[1].alias("p_activity"))
         return case.join(activity, keep)
 
     def save(self, path: str) -> None:
-        """Two models and a small description under the folder ``path``."""
+        """The models and a small description under the folder ``path``."""
         spark = SparkSession.getActiveSession()
-        self.case.write().overwrite().save(f"{path}/case")
-        self.activity.write().overwrite().save(f"{path}/activity")
-        text = json.dumps({"method": self.method, "means": self.means, "deviations": self.deviations, "centres": self.centres})
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/description")
+        said = {"method": self.method, "means": self.means, "deviations": self.deviations}
+        if self.method == "svm":
+            said |= {"case": self.case.described(), "activity": self.activity.described()}
+        else:
+            self.case.write().overwrite().save(f"{path}/case")
+            self.activity.write().overwrite().save(f"{path}/activity")
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/description")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, method: str | None = None) -> ColumnClassifiers:
         said = json.loads(spark.read.text(f"{path}/description").first()[0])
         if method is not None and said["method"] != method:
             raise ValueError(f"{path} holds classifiers of method {said['method']!r}")
-        return cls(said["method"], said["means"], said["deviations"], said["centres"], PipelineModel.load(f"{path}/case"), PipelineModel.load(f"{path}/activity"))
+        models = [svm.SupportVectors(**said[r]) if said["method"] == "svm" else PipelineModel.load(f"{path}/{r}") for r in ("case", "activity")]
+        return cls(said["method"], said["means"], said["deviations"], *models)
 
 
 def train_classifiers(features: DataFrame, method: str = "logistic", params: dict | None = None) -> ColumnClassifiers:
-    """A classifier per role, one against the rest, on standardised features with the rarer class oversampled."""
-    _estimator(method, params or {})
+    """A classifier per role, one against the rest, on standardised features with the rarer class oversampled among them.
+
+    ``params`` go to the method's estimator (``cost`` and ``gamma`` to ``svm``).
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     features = features.cache()  # a row per column of the training tables
     stats = features.agg(*(F.avg(c).alias(f"m_{c}") for c in COLUMN_FEATURES), *(F.stddev_pop(c).alias(f"d_{c}") for c in COLUMN_FEATURES)).first()
     if stats[f"m_{COLUMN_FEATURES[0]}"] is None:
         raise ValueError("there is no column to learn from")
-    found = ColumnClassifiers(method, [stats[f"m_{c}"] for c in COLUMN_FEATURES], [stats[f"d_{c}"] for c in COLUMN_FEATURES], [], None, None)
-    if method == "svm":
-        rows = found.scaled(features).orderBy(F.xxhash64(*COLUMN_FEATURES)).limit(CENTRES).collect()
-        found.centres = [[r[f"z_{c}"] for c in COLUMN_FEATURES] for r in rows]
-    names = [f"g_{i}" for i in range(len(found.centres))] or [f"z_{c}" for c in COLUMN_FEATURES]
+    found = ColumnClassifiers(method, [stats[f"m_{c}"] for c in COLUMN_FEATURES], [stats[f"d_{c}"] for c in COLUMN_FEATURES], None, None)
+    scaled = found.scaled(features).select("label", *(F.col(f"z_{c}").alias(c) for c in COLUMN_FEATURES))
     for role in ("case", "activity"):
-        marked = features.withColumn("target", (F.col("label") == role).cast("int"))
-        balanced = found.inputs(oversampled(marked, "target"))
-        stages = [VectorAssembler(inputCols=names, outputCol="features"), _estimator(method, params or {})]
-        setattr(found, role, Pipeline(stages=stages).fit(balanced))
+        marked = scaled.withColumn("target", (F.col("label") == role).cast("int"))
+        balanced = oversampled(marked, "target").withColumnsRenamed({c: f"z_{c}" for c in COLUMN_FEATURES})
+        names = [f"z_{c}" for c in COLUMN_FEATURES]
+        if method == "svm":
+            rows = balanced.orderBy(*names, "target").collect()  # a row per column of the training tables, twice at most
+            model = svm.fit(np.array([[r[c] for c in names] for r in rows], float), np.array([r["target"] == 1 for r in rows]), **(params or {}))
+        else:
+            model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), _estimator(method, params or {})]).fit(balanced)
+        setattr(found, role, model)
     features.unpersist()
     return found

@@ -159,3 +159,21 @@ def test_public_statistics(tickets):
     assert got["num_cases"] == 20 and got["num_variants"] == 1 and got["dfg_density"] == pytest.approx(2 / 9)
     assert api.convert_to_event_log(tickets, "ticket", "status", "at").count() == 60
     assert api.suggest_mandatory_column_candidates(tickets)
+
+
+def test_support_vectors_meet_the_optimality_conditions():
+    from eventloom.operators import svm
+
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(1.5, 1, (30, 3))])
+    positive = np.arange(70) >= 40
+    found = svm.fit(x, positive)
+    margin = np.where(positive, 1, -1) * found.decide(x)
+    weight = {tuple(v): abs(w) for v, w in zip(found.vectors, found.weights)}
+    assert sum(found.weights) == pytest.approx(0, abs=1e-9) and max(weight.values()) <= 1 + 1e-9
+    for row, m in zip(x.tolist(), margin):  # outside the margin no weight, inside it all of it, on it any
+        w = weight.get(tuple(row), 0.0)
+        assert (w < 1e-9 and m >= 1 - 5e-3) or (w > 1 - 1e-9 and m <= 1 + 5e-3) or m == pytest.approx(1, abs=5e-3)
+    chance = 1 / (1 + np.exp(found.slope * found.decide(x) + found.shift))
+    assert found.slope < 0 and ((chance > 0.5) == positive).mean() > 0.8 and 0 < chance.min() < chance.max() < 1
+    assert svm.fit(x[:5], positive[:5]).decide(x).tolist() == [-1.0] * 70
