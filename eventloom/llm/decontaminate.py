@@ -51,45 +51,61 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CLASS = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name"))], np.uint64)
 
 
+class _Words(dict):
+    """Numbers of distinct words, and what is known of each, by number: hash of the bare lower-case word, flags, hash that tells signs apart.
+
+    Flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 number and unit in one.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.folded, self.exact, self.flags = (np.zeros(MEMO_WORDS, t) for t in (np.uint64, np.uint64, np.uint8))
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        if number == len(self.flags):  # a text of very many distinct words
+            for name in ("folded", "exact", "flags"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        bare = word.strip(_EDGES)
+        lower = bare.lower()
+        flags = 8 * word.endswith((".", "!", "?", ":"))
+        if bare != lower:
+            flags |= 4 * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
+        if lower in UNITS:
+            flags |= 2
+        elif not bare.isalpha():
+            if _NUMBER.fullmatch(bare):
+                flags |= 1
+            elif (m := _QUANTITY.fullmatch(bare)) and m[1].lower() in UNITS:
+                flags |= 16
+        folded = xxhash.xxh64_intdigest(lower)
+        self.folded[number], self.flags[number] = folded, flags
+        self.exact[number] = folded if bare else xxhash.xxh64_intdigest(word)
+        return number
+
+
 class Canoniser:
-    """Canonical tokens of texts; remembers a bounded number of words."""
+    """Canonical tokens of texts; remembers a bounded number of words, and those of one text."""
 
     def __init__(self, window: int = WINDOW):
-        self.memo: dict[str, tuple[int, int, int]] = {}
+        self.memo = _Words()
         rng = np.random.default_rng(7)
         self.powers = rng.integers(0, 2**63, window, dtype=np.uint64) | np.uint64(1)
         self.window = window
 
-    def _word(self, word: str) -> tuple[int, int, int]:
-        """Hash of the bare lower-case word, flags (1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 number and unit in one), hash that tells signs apart."""
-        bare = word.strip(_EDGES)
-        flags = 8 * word.endswith((".", "!", "?", ":")) + 4 * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
-        if _NUMBER.fullmatch(bare):
-            flags |= 1
-        elif bare.lower() in UNITS:
-            flags |= 2
-        elif (m := _QUANTITY.fullmatch(bare)) and m[1].lower() in UNITS:
-            flags |= 16
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        folded = xxhash.xxh64_intdigest(bare.lower())
-        value = self.memo[word] = (folded, flags, folded if bare else xxhash.xxh64_intdigest(word))
-        return value
-
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Raw words, classes, wider classes, literal hashes, and hashes of all words for verbatim windows.
 
         In the wider classes, a number with its unit is a number, and a name that is one elsewhere is one after a sentence too.
         """
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo = _Words()
         words = text.split()
-        get, make = self.memo.get, self._word
-        found = [get(w) or make(w) for w in words]
-        hashes = np.fromiter((f[0] for f in found), np.uint64, len(words))
-        flags = np.fromiter((f[1] for f in found), np.uint8, len(words))
+        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        hashes, flags, exact = self.memo.folded[at], self.memo.flags[at], self.memo.exact[at]
         before = np.concatenate([[8], flags[:-1]]) if len(words) else flags
         kinds = np.where((flags & 4 > 0) & (before & 8 == 0), NAME, LITERAL)
         kinds = np.where((flags & 2 > 0) & (before & 1 > 0), UNIT, kinds)
-        exact = np.fromiter((f[2] for f in found), np.uint64, len(words))
         kinds = np.where(flags & 1 > 0, NUMBER, kinds)
         wider = np.where(flags & 16 > 0, NUMBER, kinds)
         first = np.flatnonzero((kinds == LITERAL) & (flags & 4 > 0))
