@@ -5,8 +5,11 @@ Floating-point results are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from eventloom.model import COLUMN_FEATURES, LOG_FEATURES, ROW_ID, EventLogSpec
 from eventloom.operators import classify, novelty, offline, profile, reshape, scoring, screening, traces, validate
 from eventloom.plans import sql
 from eventloom.session import scratch_dir
-from eventloom.sources import tables
+from eventloom.sources import catalog, tables
 
 EVENTS = EventLogSpec("user_id", "event_type", "ts", ("event_id",))
 ORDERS = EventLogSpec("o_custkey", "o_orderstatus", "o_orderdate", ("o_orderkey",))
@@ -289,6 +292,48 @@ def folder_features(spark, sf_dir):
     return rounded(reshape.union_all(rows).withColumns({c: F.col(c).cast("long") for c in ("unique_case_count", "unique_activity_count", "variant_count", "total_event_count")}))
 
 
+def _portal(spark, sf_dir) -> list[tuple[int, str, list[str]]]:
+    """A stand-in portal with a record for each nation: number, title, and files, of which none, one or two are CSV."""
+    rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    return [(r["n_nationkey"], r["n_name"], ["readme.txt", *(f"part{i}.CSV" for i in range(r["n_regionkey"] % 3))]) for r in rows]
+
+
+def zenodo_search(spark, sf_dir):
+    """Records of the stand-in portal with one CSV file that can be fetched, up to five."""
+    records = [{"id": k, "metadata": {"title": t}, "files": [{"key": f, "links": {"self": f"{k}/{f}"}} for f in files]} for k, t, files in _portal(spark, sf_dir)]
+
+    def get(url, **_):
+        if url.endswith("/records"):
+            return SimpleNamespace(raise_for_status=lambda: None, json=lambda: {"hits": {"hits": records}})
+        if int(url.split("/")[0]) % 4 == 3:
+            raise OSError("not there")
+        return contextlib.nullcontext(SimpleNamespace(raise_for_status=lambda: None, iter_content=lambda chunk_size: [b"a,b\n1,2\n"]))
+
+    with tempfile.TemporaryDirectory() as folder:
+        return _found(spark, catalog.search_data_platform("logs", "Zenodo", folder, 5, get), folder)
+
+
+def kaggle_search(spark, sf_dir):
+    """The same through the other portal's client, up to four."""
+    portal = {f"owner/{k}": (t, files) for k, t, files in _portal(spark, sf_dir)}
+
+    def fetch(ref, name, path, **_):
+        if int(ref.split("/")[1]) % 4 == 3:
+            raise OSError("not there")
+
+    client = SimpleNamespace(
+        dataset_list=lambda **_: [SimpleNamespace(ref=r, title=t) for r, (t, _) in portal.items()],
+        dataset_list_files=lambda ref: SimpleNamespace(files=[SimpleNamespace(name=n) for n in portal[ref][1]]),
+        dataset_download_file=fetch,
+    )
+    with tempfile.TemporaryDirectory() as folder:
+        return _found(spark, catalog.search_data_platform("logs", "kaggle", folder, 4, client), folder)
+
+
+def _found(spark, datasets, folder: str) -> DataFrame:
+    return spark.createDataFrame([(d.ref, d.csv_path.removeprefix(f"{folder}/"), d.title) for d in datasets], catalog.SCHEMA)
+
+
 def matrix_read(spark, sf_dir):
     """A matrix of known logs, written as CSV and read by name."""
     path = _scratch(spark, "matrix")
@@ -396,7 +441,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         variants_topk, trace_lengths, trace_per_case, dfg_edges, valid_trace_events, dedup_case_ts, standard_log, sorted_log, wide_to_long, case_level_melt,
         interval_gate, table_type_fill_rates, table_types, primary_timestamp, least_null_timestamp, ensure_long, column_profile, minmax_norm, heuristic_scores, top_columns, recognisers, parsed_patterns, unix_ts_detect,
-        field_screening, datetime_filter, duplicate_columns, ca_combinations, offline_features, csv_scan, folder_features, matrix_read, novelty_vote, column_training_set, feature_means_by_label, similarity, column_classifiers,
+        field_screening, datetime_filter, duplicate_columns, ca_combinations, offline_features, csv_scan, folder_features, matrix_read, zenodo_search, kaggle_search, novelty_vote, column_training_set, feature_means_by_label, similarity, column_classifiers,
         suggested_columns, evaluated_combinations, validated_log, validated_orders, candidate_tables,
     ]
     return named | {f.__name__: f for f in plain}

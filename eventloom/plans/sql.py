@@ -299,6 +299,10 @@ def oracles(events: EventLogSpec, orders: EventLogSpec, lineitem: EventLogSpec,
             select id as part, {_rounded_features()}, total_event_count, round(share, 6) as valid_trace_percentage
             from f join (select id, avg((n > 1 and d > 1)::int) share from s group by id) using (id)""",
         "matrix_read": f"with e as ({_events(orders, 'orders', 'o_custkey % 10')}), {_features(orders, 'e')} select {', '.join(f'round({c}::double, 6) as {c}' for c in LOG_FEATURES)} from f",
+        "zenodo_search": """select 'zenodo__' || n_nationkey as ref, 'zenodo__' || n_nationkey || '/part0.CSV' as csv_path, n_name as title
+            from nation where n_regionkey % 3 = 1 and n_nationkey % 4 <> 3 order by n_nationkey limit 5""",
+        "kaggle_search": """select 'owner/' || n_nationkey as ref, 'owner__' || n_nationkey || '/part0.CSV' as csv_path, n_name as title
+            from nation where n_regionkey % 3 = 1 and n_nationkey % 4 <> 3 order by n_nationkey limit 4""",
         "column_training_set": f"""with recursive {_profile(labelled("0") + " union all " + labelled("1"))}, {_similarity("cells")}
             select regexp_replace(split_part(col, '/', 2), '[01]$', '') as "column", split_part(col, '/', 1) as label, {features} from p join sims using (col)""",
         "recognisers": _RECOGNISED,
