@@ -100,7 +100,8 @@ def features(rows: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, word_index, word, head, before, before2, candidate``; texts without any candidate are passed over at once."""
-    likely = rf"(?:{CANDIDATE})|(?i)(?:{'|'.join(SECRET_WORDS)})[\"']?\s*[:=>]"
+    # a sign after white space or a secret word: looked for by the sign, which is rare
+    likely = rf"{CANDIDATE}|[:=>](?:(?<=\s[:=>])|(?<=(?i:{_KEY})[\"']{{0,1}}[:=>]))"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(likely))
     words = rows.select("doc_id", F.split("text", r"\s+").alias("words"))
     near = lambda i, k: F.coalesce(F.get("words", i - k), F.lit(""))
