@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +70,38 @@ def is_unix_time(text: Column, name: Column) -> Column:
     return _name_says(name, UNIX_KEYWORDS) & F.year(F.timestamp_seconds(number)).between(*YEARS)
 
 
-def is_datetime(value: Column, name: Column) -> Column:
-    """Does a text look like a point in time?  Null and empty do not."""
+def reads_as_date(text: Column) -> Column:
+    """Does a general date parser make sense of a text?  In Python, an Arrow batch at a time: for a few values."""
+
+    @F.pandas_udf("boolean")
+    def readable(texts: pd.Series) -> pd.Series:
+        from dateutil import parser
+
+        def one(text: str | None) -> bool:
+            if text is None:
+                return False
+            try:
+                if not pd.isna(pd.to_datetime(text, errors="coerce")):
+                    return True
+                parser.parse(text)
+            except (ValueError, OverflowError, TypeError):
+                return False
+            return True
+
+        return texts.map(one)
+
+    return readable(text)
+
+
+def is_datetime(value: Column, name: Column, free_form: bool = False) -> Column:
+    """Does a text look like a point in time?  Null and empty do not.
+
+    With ``free_form``, texts that fit no pattern are given to a general parser.
+    """
     text = F.trim(value)
-    plain = (F.length(text) >= 6) & (text.rlike(r"[-/:.T ]") | text.rlike(r"^\d+$")) & parse(text).isNotNull()
+    able = (F.length(text) >= 6) & (text.rlike(r"[-/:.T ]") | text.rlike(r"^\d+$"))
+    fits = parse(text).isNotNull()
+    plain = able & (fits | reads_as_date(F.when(able & ~fits, text)) if free_form else fits)
     unix = text.rlike(r"^(\d{10}|\d{13})$")
     empty = value.isNull() | (text == "") | (F.lower(text) == "nan")
     return F.when(empty, False).when(unix, is_unix_time(text, name)).otherwise(plain)

@@ -35,7 +35,7 @@ def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``ordinal, column, h1, h2, length, words, n``: how often each value of each column occurs, with a row of nulls for null.
+    """``ordinal, column, h1, h2, length, wordy, n``: how often each value of each column occurs, with a row of nulls for null.
 
     Values are told apart by two 64-bit hashes, so that long texts are not shuffled.
     """
@@ -105,14 +105,17 @@ def first_values(df: DataFrame, n: int, columns: list[str] | None = None) -> Dat
     return first(head, dense).unionAll(first(df, sparse)) if dense else first(df, sparse)
 
 
-def sample_profile(values: DataFrame) -> DataFrame:
+def sample_profile(values: DataFrame, free_form: bool = False) -> DataFrame:
     """What the first values of each column look like, from :func:`first_values` of 50.
 
     ``kinds``: kinds among 50; ``duration_share`` of 50 and ``duration_share_30``; ``datetime_share`` of 30; ``datetimes_20``
-    and ``n_20``; the signature of 30: length of the first, values with a dash, values with a space.
+    and ``n_20``; the signature of 30: length of the first, values with a dash, values with a space.  With ``free_form``, times in no
+    known pattern are tried by a general parser.
     """
+    if free_form:
+        values = values.withColumn("_dated", timestamps.is_datetime(F.col("value"), F.col("column"), True))
     value, place, name = F.col("value"), F.col("position"), F.col("column")
-    dated = timestamps.is_datetime(value, name).cast("int")
+    dated = (F.col("_dated") if free_form else timestamps.is_datetime(value, name)).cast("int")
     timed = timestamps.speaks_of_duration(value).cast("int")
     upto = lambda n, x: F.when(place <= n, x)
     return values.groupBy("ordinal", "column").agg(

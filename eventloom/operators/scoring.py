@@ -62,19 +62,20 @@ def suggest_columns(
     classifiers=None,
     case_k: int = 2,
     act_k: int = 2,
+    free_form: bool = False,
 ) -> list[tuple[str, str, str]]:
     """Combinations ``(timestamp, case, activity)`` worth a closer look, from the first ``SAMPLE_ROWS`` rows.
 
     ``baseline`` ranks by :func:`heuristic_scores`; with ``classifiers`` (see ``classify``) columns are ranked by
     their probabilities, and the best comes last, as ``k`` largest in ascending order.  Another method without classifiers
-    falls back to ``baseline``, with a warning.
+    falls back to ``baseline``, with a warning.  ``free_form`` recognises timestamps in no known pattern, by a general parser.
     """
     if method != "baseline" and classifiers is None:
         log.warning("there are no classifiers for method %r: columns are ranked by the heuristic", method)
         method = "baseline"
     sample = first_rows(df, SAMPLE_ROWS).cache()  # SAMPLE_ROWS rows at most
     try:
-        profiles = collect_profiles(sample)
+        profiles = collect_profiles(sample, free_form)
         timestamps = timestamp_columns(sample, profiles)
         if not timestamps:
             return []

@@ -1,6 +1,6 @@
 """Deciding which columns can be timestamps, cases and activities.
 
-Figures come from the two jobs of ``profile``; what follows is a few rules over one row per column.
+Figures come from the two profiles of ``profile``; what follows is a few rules over one row per column.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ class Profiles:
     sample: dict[str, dict]
 
 
-def collect_profiles(df: DataFrame) -> Profiles:
-    """Run both jobs; the driver gets one row per column from each."""
+def collect_profiles(df: DataFrame, free_form: bool = False) -> Profiles:
+    """Both profiles; the driver gets one row per column from each.  ``free_form`` as in ``sample_profile``."""
     if not simple_columns(df):
         return Profiles({}, {})
     rows = lambda d: {r["column"]: r.asDict() for r in d.orderBy("ordinal").collect()}
-    return Profiles(rows(column_profile(df)), rows(sample_profile(first_values(df, 50))))
+    return Profiles(rows(column_profile(df)), rows(sample_profile(first_values(df, 50), free_form)))
 
 
 def is_duration_column(sample: dict | None, field: str = "duration_share") -> bool:

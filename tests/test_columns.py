@@ -189,3 +189,17 @@ def test_shapes_hide_no_reading(spark):
     plain = F.coalesce(*(F.try_to_timestamp(F.trim("x"), F.lit(p)) for p in timestamps.PATTERNS))
     differing = df.select("x", plain.alias("a"), timestamps.parse(F.col("x")).alias("b")).where("not a <=> b").select("x").collect()
     assert not differing and len(texts) > 200
+
+
+def test_free_form_times_are_an_option(spark):
+    from eventloom.functions import timestamps
+    from eventloom.operators import scoring
+
+    texts = ["Tue Mar 5 07:08:09 2024", "5th of March 2024", "2024-03-05", "not a date", "", None, "123456", "hello 12"]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    found = lambda free: [r[0] for r in df.select(timestamps.is_datetime(F.col("value"), F.lit("when"), free)).collect()]
+    assert found(False) == [False, False, True, False, False, False, False, False]
+    assert found(True)[:7] == [True, True, True, False, False, False, False]
+    rows = [(i, f"c{i % 9}", "abcde"[i % 5] * 3, f"Tue Mar {i % 28 + 1} 07:08:09 2024") for i in range(60)]
+    log = spark.createDataFrame(rows, "_row_id long, customer string, status string, moment string")
+    assert scoring.suggest_columns(log) == [] and scoring.suggest_columns(log, free_form=True)

@@ -90,3 +90,39 @@ def test_many_logs_in_one_plan(log):
     got = {r["file"]: r for r in traces.offline_features(both, SPEC).collect()}
     assert got["one"]["unique_case_count"] == 2 and got["one"]["valid_trace_percentage"] == pytest.approx(0.5)
     assert got["two"]["unique_case_count"] == 1 and got["two"]["dfg_density"] == pytest.approx(2 / 4)
+
+
+@pytest.mark.parametrize("by_time", [True, False])
+def test_figures_against_plain_loops(spark, by_time):
+    """Random logs with nulls and ties, several in one table, counted case by case."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice("pq"), rnd.choice([None, *"ABCDEFG"]), rnd.choice([None, "x", "y", "z", "x" * 300]), rnd.choice([None, 1, 2, 3, 4])) for i in range(400)]
+    log = traces.events(spark.createDataFrame(rows, "i long, file string, c string, a string, t long"), SPEC, ("file",))
+    got = {r["file"]: r for r in traces.features_of(log, ("file",), by_time=by_time).collect()}
+    late = lambda r: (r[4] is None, r[4] or 0, r[0])
+    for file in "pq":
+        own = [r for r in rows if r[1] == file]
+        cases: dict = {}
+        for r in own:
+            if r[2] is not None:
+                cases.setdefault(r[2], []).append(r)
+        timed = {c: [r[3] for r in sorted(x, key=late)] for c, x in cases.items()}
+        told = timed if by_time else {c: [r[3] for r in sorted(x)] for c, x in cases.items()}
+        edges = {(a, b) for t in timed.values() for a, b in zip(t, t[1:])}
+        acts = len({r[3] for r in own} - {None})
+        r = got[file]
+        assert (r["unique_case_count"], r["variant_count"], r["unique_activity_count"], r["total_event_count"]) == (len(cases), len(set(map(tuple, told.values()))), acts, len(own))
+        assert r["avg_events_per_case"] == pytest.approx(sum(map(len, cases.values())) / len(cases))
+        assert r["avg_unique_acts_per_trace"] == pytest.approx(sum(len(set(t)) for t in timed.values()) / len(cases))
+        assert r["dfg_density"] == pytest.approx(len(edges) / acts**2)
+
+
+def test_statistics_take_one_scan_and_one_exchange_on_the_case(spark, sf_dir):
+    from eventloom.plans import catalogue
+
+    df = catalogue.queries()["log_statistics_events"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(case") == 1 and plan.count("Exchange") <= 3
