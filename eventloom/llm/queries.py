@@ -90,6 +90,28 @@ from d
 """
 
 
+# Sets of shingles, pairs by their common ones, and all that can be reached over links.
+_OP5_SQL = f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x09-\\x0D ]+'), lambda x: x <> '') as ws from documents
+), sh as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) end) as s from w
+), n as (
+  select doc_id, count(*) as n from sh group by doc_id
+), p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 100 * c >= 85 * (nx.n + ny.n - c)
+), either as (
+  select x, y from links union select y, x from links
+), reach as (
+  select doc_id, doc_id as r from documents union select either.y, reach.r from reach join either on reach.doc_id = either.x
+)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r) as component_id, d.doc_id = min(r) as kept
+from documents d join reach using (doc_id) left join n using (doc_id) group by d.doc_id
+"""
+
 _OP10_SQL = f"""
 with l as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents
@@ -110,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8_SQL, "op10_line_dedup": _OP10_SQL}
+    return {"op5_minhash_near_dedup": _OP5_SQL, "op8_exact_dedup": _OP8_SQL, "op10_line_dedup": _OP10_SQL}
