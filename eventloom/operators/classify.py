@@ -153,13 +153,15 @@ def train_classifiers(features: DataFrame, method: str = "logistic", params: dic
     scaled = found.scaled(features).select("label", *(F.col(f"z_{c}").alias(c) for c in COLUMN_FEATURES))
     for role in ("case", "activity"):
         marked = scaled.withColumn("target", (F.col("label") == role).cast("int"))
-        balanced = oversampled(marked, "target").withColumnsRenamed({c: f"z_{c}" for c in COLUMN_FEATURES})
+        # fitting reads it over and over, in many short jobs: a row per column of the training tables, twice at most
+        balanced = oversampled(marked, "target").withColumnsRenamed({c: f"z_{c}" for c in COLUMN_FEATURES}).coalesce(1).cache()
         names = [f"z_{c}" for c in COLUMN_FEATURES]
         if method == "svm":
-            rows = balanced.orderBy(*names, "target").collect()  # a row per column of the training tables, twice at most
+            rows = balanced.orderBy(*names, "target").collect()
             model = svm.fit(np.array([[r[c] for c in names] for r in rows], float), np.array([r["target"] == 1 for r in rows]), **(params or {}))
         else:
             model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), _estimator(method, params or {})]).fit(balanced)
+        balanced.unpersist()
         setattr(found, role, model)
     features.unpersist()
     return found

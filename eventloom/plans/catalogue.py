@@ -396,6 +396,44 @@ def column_classifiers(spark, sf_dir):
     return found.groupBy("column").agg(F.round(F.avg("p_case"), 2).alias("p_case"), F.round(F.avg("p_activity"), 2).alias("p_activity"))
 
 
+def _training(spark, sf_dir, parts: int = 4) -> DataFrame:
+    logs = _labelled(spark, sf_dir)
+    return classify.training_set([logs.where(F.col(ROW_ID) % parts == i) for i in range(parts)], screen=False)
+
+
+def classified_columns(spark, sf_dir):
+    """What each method (with fewer trees than usual) says of the columns that it was trained on."""
+    features = _training(spark, sf_dir).cache()  # a row per column of four logs
+    parts = []
+    for method in classify.METHODS:
+        found = classify.train_classifiers(features, method, {"rf": {"numTrees": 20}, "gb": {"maxIter": 10}}.get(method)).score(features)
+        said = F.when((F.col("p_case") > 0.5) & (F.col("p_case") >= F.col("p_activity")), "case").when(F.col("p_activity") > 0.5, "activity").otherwise("irrelevant")
+        parts.append(found.select(F.lit(method).alias("method"), "column", said.alias("said")).distinct())
+    return reshape.union_all(parts)
+
+
+def saved_classifiers(spark, sf_dir):
+    """Do classifiers that were stored and loaded score as those in memory?"""
+    features = _training(spark, sf_dir, 2).cache()  # a row per column of two logs
+    parts = []
+    for method in ("logistic", "tree", "svm"):
+        path = _scratch(spark, f"classifiers-{method}")
+        made = classify.train_classifiers(features, method)
+        made.save(path)
+        loaded = classify.ColumnClassifiers.load(spark, path, method)
+        scores = lambda c: c.score(features).groupBy("column").agg(F.sum("p_case").alias("c"), F.sum("p_activity").alias("a"))
+        both = scores(made).join(scores(loaded).withColumnsRenamed({"c": "c2", "a": "a2"}), "column")
+        parts.append(both.select(F.lit(method).alias("method"), "column", ((F.abs(F.col("c") - F.col("c2")) < 1e-9) & (F.abs(F.col("a") - F.col("a2")) < 1e-9)).alias("same")))
+    return reshape.union_all(parts)
+
+
+def oversampled_columns(spark, sf_dir):
+    """Rows and ranges of the features of both classes after oversampling: new rows lie between old ones."""
+    marked = _training(spark, sf_dir).withColumn("target", (F.col("label") == "activity").cast("int"))
+    found = classify.oversampled(marked, "target")
+    return rounded(found.groupBy("target").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in COLUMN_FEATURES for n, f in (("least", F.min), ("most", F.max)))))
+
+
 def suggested_columns(spark, sf_dir):
     return spark.createDataFrame(scoring.suggest_columns(tickets(spark, sf_dir)), "timestamp string, case string, activity string")
 
@@ -441,7 +479,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         variants_topk, trace_lengths, trace_per_case, dfg_edges, valid_trace_events, dedup_case_ts, standard_log, sorted_log, wide_to_long, case_level_melt,
         interval_gate, table_type_fill_rates, table_types, primary_timestamp, least_null_timestamp, ensure_long, column_profile, minmax_norm, heuristic_scores, top_columns, recognisers, parsed_patterns, unix_ts_detect,
-        field_screening, datetime_filter, duplicate_columns, ca_combinations, offline_features, csv_scan, folder_features, matrix_read, zenodo_search, kaggle_search, novelty_vote, column_training_set, feature_means_by_label, similarity, column_classifiers,
+        field_screening, datetime_filter, duplicate_columns, ca_combinations, offline_features, csv_scan, folder_features, matrix_read, zenodo_search, kaggle_search, novelty_vote, column_training_set, feature_means_by_label, similarity, column_classifiers, classified_columns, saved_classifiers, oversampled_columns,
         suggested_columns, evaluated_combinations, validated_log, validated_orders, candidate_tables,
     ]
     return named | {f.__name__: f for f in plain}

@@ -200,8 +200,9 @@ def oracles(events: EventLogSpec, orders: EventLogSpec, lineitem: EventLogSpec,
     pick = lambda body: f"with {_wide()} {body}"
     melted = " union all ".join(f"select user_id as \"case\", '{t}' as activity, epoch_us({t}) as micros from wide where {t} is not null" for t in _TYPES)
     profiled = f"with {_profile(_cells('orders', _PROFILED))}"
+    named = "(values ('case:concept:name', 'case'), ('concept:name', 'activity'), ('seventh', 'irrelevant'), ('third', 'irrelevant')) c(col, label)"
     columns = [("user_id % 60", "case:concept:name", "case"), ("event_type", "concept:name", "activity"), ("event_id % 7", "seventh", "irrelevant"), ("event_id % 3", "third", "irrelevant")]
-    labelled = lambda half: " union all ".join(f"select '{label}/{name}{half}' as col, ({c})::varchar as v from events" + (f" where event_id % 2 = {half}" if half else "") for c, name, label in columns)
+    labelled = lambda half, parts=2: " union all ".join(f"select '{label}/{name}{half}' as col, ({c})::varchar as v from events" + (f" where event_id % {parts} = {half}" if half else "") for c, name, label in columns)
     features = ", ".join(f"round({c}, 6) as {c}" for c in ("n_unique_ratio", "max_freq", "entropy", "sim", "std_length"))
     ranked = ["customer", "status", "seventh", "remark_code"]
     scale = lambda c: f"case when max({c}) over () = min({c}) over () then 0 else ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) end"
@@ -327,6 +328,12 @@ def oracles(events: EventLogSpec, orders: EventLogSpec, lineitem: EventLogSpec,
         + _LOF
         + """, r as (select id, score > 1.5 as outlier from lof union all select id, min(d) > 0.6 from d group by id)
             select id, count(*) filter (where outlier) >= count(*) // 2 + 1 as anomaly from r group by id""",
+        "classified_columns": f"select m as method, col as \"column\", label as said from (values ('logistic'), ('tree'), ('rf'), ('gb'), ('svm')) x(m), {named}",
+        "saved_classifiers": f"select m as method, col as \"column\", true as same from (values ('logistic'), ('tree'), ('svm')) x(m), {named}",
+        "oversampled_columns": f"""with recursive {_profile(" union all ".join(labelled(str(i), 4) for i in range(4)))}, {_similarity("cells")},
+            r as (select (split_part(col, '/', 1) = 'activity')::int as target, n_unique_ratio, max_freq, entropy, sim, std_length from p join sims using (col)),
+            k as (select max(n) n from (select count(*) n from r group by target))
+            select target, any_value(k.n) as n, {", ".join(f"round(min({c}), 6) as least_{c}, round(max({c}), 6) as most_{c}" for c in ("n_unique_ratio", "max_freq", "entropy", "sim", "std_length"))} from r, k group by target""",
         "feature_means_by_label": f"""with recursive {_profile(labelled(""))}, {_similarity("cells")}
             select split_part(col, '/', 1) as label, {", ".join(f"round(avg({c}), 6) as {c}" for c in ("n_unique_ratio", "max_freq", "entropy", "sim", "std_length"))} from p join sims using (col) group by label""",
     }
