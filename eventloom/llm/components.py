@@ -40,16 +40,24 @@ def alternation(edges: DataFrame) -> DataFrame:
     return written(_small_star(_large_star(edges)).distinct(), "edges")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node that points at another point at one only, at which nothing points from above?"""
+    pointing = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    chained = pointing.where("n > 1").select("u").union(edges.select(F.col("v").alias("u")).distinct().join(spread(pointing.select("u"), "u"), "u", "left_semi"))
+    return chained.isEmpty()
+
+
 def stars(edges: DataFrame) -> DataFrame:
-    """Edges from each node to the smallest of its component: alternations until nothing changes."""
-    before, given = None, edges
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or now[0] == 0:
-            return edges
-        last, before, edges = edges, now, alternation(edges)
+    """Edges ``u, v`` (u > v) from each node to the smallest of its component: alternations until they are stars.
+
+    Stars stay as they are under both operations, and anything else changes.
+    """
+    given = edges
+    while not _are_stars(edges):
+        last, edges = edges, alternation(edges)
         if last is not given:
             discard(last)
+    return edges
 
 
 def oriented(edges: DataFrame) -> DataFrame:

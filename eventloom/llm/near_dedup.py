@@ -229,7 +229,7 @@ def _crowded(own: DataFrame) -> DataFrame:
     """``bucket, size, least, h, rep`` of each class in a bucket with two classes at least; ``least`` is the bucket's first pivot."""
     dealt = own.select(F.explode("buckets").alias("bucket"), "h", "rep")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").drop("most")
-    return written(dealt.join(written(sizes, "buckets"), "bucket"), "crowded")
+    return written(dealt.join(spread(sizes, "bucket"), "bucket"), "crowded")
 
 
 def _first_pairs(crowded: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -244,14 +244,11 @@ def _open(rows: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
 
     Level 0 is the class with the smallest name; the others follow in levels of about 1, 2, 4, ... pivots.
     """
-    labelled = rows.select("bucket", "size", "least", "h", "rep").join(labels, "rep", "left")
-    labelled = written(labelled.withColumn("component", F.coalesce("component", "rep")), "labelled")
+    labelled = rows.select("bucket", "size", "least", "h", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
     level = F.when(F.col("h") == F.col("least"), 0).otherwise(1 + F.floor(F.log2(1 + (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size"))))
     still = labelled.join(spread(mixed, "bucket"), "bucket", "left_semi").withColumn("level", level.cast("int"))
-    found = written(still.join(own.select("h", "n", *SKETCH), "h"), "open")
-    discard(labelled)
-    return found
+    return written(still.join(own.select("h", "n", *SKETCH), "h"), "open")
 
 
 def _pairs(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
@@ -308,11 +305,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = crowded.select("rep").distinct()
     needed = docs.join(shared.hint("merge"), docs["doc_id"] == shared["rep"], "left_semi")
     sets = written(shingle_sets(needed, percent), "sets")
-    links = written(oriented(_repeated_ids(features, classes)), "links")
-    pairs, current, low, tests, done = written(_first_pairs(crowded, own, percent), "pairs"), crowded, 1, FIRST_TESTS, False
+    links, current, low, tests, done = oriented(_repeated_ids(features, classes)), crowded, 1, FIRST_TESTS, False
+    pairs = _first_pairs(crowded, own, percent)
     while True:
         before, links = links, stars(written(oriented(confirmed(pairs, sets, percent).union(links.select("u", "v"))), "links"))
-        discard(before, pairs)
+        discard(before)
         if done:
             break
         before, current = current, _open(current, _labels(links), own)
@@ -321,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         if following is None:
             break
         high, done = following
-        pairs = written(_pairs(current, low, high, percent), "pairs")
+        pairs = _pairs(current, low, high, percent)
         low, tests = high + 1, PER_ROUND
     discard(own, sets, current)
     rows = features.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes, "digest", "left")
