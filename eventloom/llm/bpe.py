@@ -25,6 +25,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 from pathlib import Path
 
 import pyarrow as pa
@@ -43,6 +44,7 @@ MEMO_PIECE_CHARS = 64
 
 SCHEMA = "doc_id long, ids binary, decoded string"
 Word = tuple[int, int, bytes]
+_BARE = {"added_tokens": [], "normalizer": None, "post_processor": None, "truncation": None, "padding": None}
 
 
 class BpeCodec:
@@ -59,18 +61,27 @@ class BpeCodec:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.leaf_chars, self.leaf_symbols = leaf_chars, leaf_symbols
         self.memo = _Memo(self)
-        #: For leaves: texts that are normalised already, and symbols inside a word, at whose end nothing is marked.
-        bare = {"added_tokens": [], "normalizer": None, "post_processor": None, "truncation": None, "padding": None}
-        whole = json.loads(tokenizer_json) | bare
-        self.scanner = Tokenizer.from_str(json.dumps(whole))
-        self.merger = Tokenizer.from_str(json.dumps(whole | {"pre_tokenizer": None, "model": whole["model"] | {"end_of_word_suffix": None}}))
+        self.tokenizer_json = tokenizer_json
+
+    # Tokenizers for leaves, made only when a long text or word comes up: each takes tens of megabytes.
+
+    @cached_property
+    def scanner(self) -> Tokenizer:
+        """For texts that are normalised already."""
+        return Tokenizer.from_str(json.dumps(json.loads(self.tokenizer_json) | _BARE))
+
+    @cached_property
+    def merger(self) -> Tokenizer:
+        """For symbols inside a word, at whose end nothing is marked."""
+        whole = json.loads(self.tokenizer_json) | _BARE
+        return Tokenizer.from_str(json.dumps(whole | {"pre_tokenizer": None, "model": whole["model"] | {"end_of_word_suffix": None}}))
 
     # -- words of a text: their span and their ids ---------------------------------------------
 
     def words(self, text: str, first: int = 0) -> list[Word]:
         """Words of a normalised text without special strings, which stands at ``first``."""
         if OUTSIDE_FAST.search(text):
-            found = [(text[a:b], a, b) for _, (a, b) in self.scanner.pre_tokenizer.pre_tokenize_str(text)]
+            found = [(text[a:b], a, b) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         else:
             found = [(m[0], *m.span()) for m in WORD_PIECES.finditer(text)]
         return [(first + a, first + b, self.memo[piece]) for piece, a, b in found]
