@@ -115,21 +115,23 @@ DEALT = 4096
 _CASE, _EDGE, _ACT = 0, 1, 2
 
 
-def _figures(log: DataFrame, by: tuple[str, ...], has_time: bool, by_time: bool) -> DataFrame:
-    """Per log: ``rows, cases, events`` (with a case), ``case_acts`` (distinct activities, summed over cases), ``variants, acts, edges``."""
+def _figures(log: DataFrame, by: tuple[str, ...], has_time: bool, by_time: bool, case_acts: bool = True) -> DataFrame:
+    """Per log: ``rows, cases, events`` (with a case), ``case_acts`` (distinct activities, summed over cases; 0 if not asked for), ``variants, acts, edges``."""
     there = F.col("case").isNotNull()
     dealt = log.withColumn("_part", F.when(~there, F.pmod(F.xxhash64(*[c for c in log.columns if c not in by]), F.lit(DEALT))))
     keys = [*by, "case", "_part"]
     own, timed = (Window.partitionBy(*keys).orderBy(*order) for order in (_by_time(log) if by_time else _order(log), _by_time(log)))
     token = (F.col("act").isNull(), F.col("act"))
-    placed = dealt.withColumn("_new", (F.row_number().over(Window.partitionBy(*keys, "act").orderBy(*_order(log))) == 1).cast("long"))
+    placed = dealt
+    if case_acts:  # the first event of each activity in its case
+        placed = placed.withColumn("_new", (F.row_number().over(Window.partitionBy(*keys, "act").orderBy(*_order(log))) == 1).cast("long"))
     placed = placed.withColumn("_p", F.row_number().over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull())
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumns(
         {
             "_f1": F.bit_xor(F.xxhash64("_p", *token)).over(upto),
             "_f2": F.bit_xor(F.xxhash64(*token, F.col("_p") * 31 + 7)).over(upto),
-            "_d": F.sum("_new").over(upto),
+            "_d": F.sum("_new").over(upto) if case_acts else F.lit(0),
         }
     )
     said = lambda kind, here, k1, k2, n, d: F.when(
@@ -164,7 +166,7 @@ def log_statistics(df: DataFrame, spec: EventLogSpec) -> DataFrame:
 
     Without a timestamp the density is null.
     """
-    found = _figures(events(df, spec), (), spec.timestamp is not None, by_time=False)
+    found = _figures(events(df, spec), (), spec.timestamp is not None, by_time=False, case_acts=False)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     length = F.try_divide(F.col("events"), F.col("cases"))
     squared = F.col("acts") * F.col("acts")
