@@ -51,17 +51,24 @@ def timestamp_columns(df: DataFrame, profiles: Profiles) -> list[str]:
 
     Of three or more, the largest group written alike stays (the first seen of equal groups).
     """
-    native = {f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
+    native = {f.name: isinstance(f.dataType, T.DateType) for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
     found = [
         c for c in profiles.whole
         if (s := profiles.sample.get(c)) and not is_duration_column(s, "duration_share_30") and (c in native or s["datetime_share"] >= DATETIME_LEAST)
     ]
-    return found if len(found) < 3 else _written_alike(found, profiles)
+    return found if len(found) < 3 else _written_alike(found, profiles, native)
 
 
-def _written_alike(columns: list[str], profiles: Profiles) -> list[str]:
-    """The columns whose signature (length, dashes, spaces) most of them share; of equally common ones, that of the earliest column."""
+def _written_alike(columns: list[str], profiles: Profiles, native: dict[str, bool]) -> list[str]:
+    """The columns whose signature (length, dashes, spaces) most of them share; of equally common ones, that of the earliest column.
+
+    ``native`` columns, by whether they are dates, are alike whatever values they hold (as text a fraction loses its last zeros): all have
+    the largest figures among them.
+    """
     signature = {c: tuple(profiles.sample[c][k] for k in ("first_length", "dashes", "spaces")) for c in columns}
+    for dates in (False, True):
+        same = [c for c in columns if native.get(c) is dates]
+        signature |= dict.fromkeys(same, tuple(map(max, zip(*(signature[c] for c in same)))))
     often = Counter(signature.values())
     usual = max(often, key=often.get)  # a Counter keeps the order in which signatures were met
     return [c for c in columns if signature[c] == usual]

@@ -129,6 +129,17 @@ def test_wide_tables(spark):
     assert [c.path for c in reshape.candidate_tables(df)] == ["event-level-multi", "case-level-melt"]
 
 
+def test_native_times_are_alike_whatever_their_fractions(spark):
+    """As text a timestamp loses the zeros at the end of its fraction; that, or a null, is no other format."""
+    import datetime as dt
+
+    at = lambda i, micros: dt.datetime(2024, 1, 1 + i, 2, 3, 4, micros)
+    columns = {"id": [1, 2, 3], "made": [at(i, 172425) for i in range(3)], "sent": [at(i, 50560) for i in range(3)], "done": [at(0, 0), None, at(2, 1)], "day": [at(i, 0).date() for i in range(3)]}
+    df = frame(spark, columns, "id long, made timestamp, sent timestamp, done timestamp_ntz, day date")
+    assert screening.timestamp_columns(df, screening.collect_profiles(df)) == ["made", "sent", "done"]
+    assert {(r["case"], r["activity"]) for r in reshape.ensure_long(df).collect()} == {(1, "made"), (2, "made"), (3, "made"), (1, "sent"), (2, "sent"), (3, "sent"), (1, "done"), (3, "done")}
+
+
 @pytest.mark.parametrize("gap, passes", [(120.0, True), (119.0, False), (0.0, False)])
 def test_interval_gate_at_the_bound(spark, gap, passes):
     assert reshape.passes_interval_gate(wide(spark, gap=gap), ["made", "sent", "done"]) is passes
