@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import timestamps
 from eventloom.functions.measures import min_max
-from eventloom.model import COLUMN_FEATURES, LOG_FEATURES, ROW_ID, EventLogSpec
+from eventloom.model import COLUMN_FEATURES, LOG_FEATURES, ROW_ID, STANDARD_ACTIVITY, STANDARD_CASE, STANDARD_TIME, EventLogSpec
 from eventloom.operators import classify, novelty, offline, profile, reshape, scoring, screening, traces, validate
 from eventloom.plans import sql
 from eventloom.session import scratch_dir
@@ -280,11 +280,18 @@ def csv_scan(spark, sf_dir):
     return df.select(F.col(f"`{case}`").alias("case"), F.col(f"`{activity}`").alias("act"), F.unix_micros(F.col(f"`{time}`").cast("timestamp")).alias("micros"))
 
 
+#: A pattern that keeps all of a time; by default CSV files have milliseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def folder_features(spark, sf_dir):
-    """Features of four folders of CSV logs, written as CSV and read again."""
+    """Features of four folders of CSV logs, written as CSV and read again: a file each, in row order, with times to the microsecond."""
     path = _scratch(spark, "logs")
-    log = traces.standard_log(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderdate").withColumn("part", F.col("`case:concept:name`") % 4)
-    log.repartition(4, "part").write.partitionBy("part").csv(path, header=True)
+    orders = read(spark, sf_dir, "orders").withColumn("part", F.col("o_custkey") % 4)
+    log = orders.select("part", "o_orderkey", *(F.col(c).alias(name) for c, name in ((ORDERS.case, STANDARD_CASE), (ORDERS.activity, STANDARD_ACTIVITY), (ORDERS.timestamp, STANDARD_TIME))))
+    # A shuffle hands on the rows of its map tasks in any order.  The writer keeps a sort that begins with the very column it divides by.
+    log = log.repartition(4, "part").sortWithinPartitions("part", F.col("o_orderkey").asc_nulls_last()).drop("o_orderkey")
+    log.write.partitionBy("part").options(timestampFormat=f"{MICROS}XXX", timestampNTZFormat=MICROS).csv(path, header=True)
     rows = []
     for i in range(4):
         offline.features_from_folder(spark, f"{path}/part={i}", output=f"{path}-features/{i}")

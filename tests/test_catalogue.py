@@ -35,6 +35,22 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in reply.fetchall())
 
 
+def test_folder_features_follow_the_keys_not_the_file(spark, tmp_path):
+    """Rows out of the order of their keys, and times within one millisecond."""
+    rows = []
+    for part in range(4):
+        for case, moments in ((part, (2, 1)), (part + 4, (1, 2))):
+            told = [(10 * case + i, case, "FO"[i], f"2024-01-01 00:00:00.00000{m}") for i, m in enumerate(moments)]
+            rows += told if case < 4 else told[::-1]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, t string")
+    df.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "t::timestamp as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.queries()["folder_features"](spark, str(tmp_path)).select("part", "unique_case_count", "variant_count", "dfg_density")
+    expected = duckdb.connect()
+    expected.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    told = expected.execute(f"select part, unique_case_count, variant_count, dfg_density from ({catalogue.oracle_sql()['folder_features']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(told) == [(part, 2, 1, 0.5) for part in range(4)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
