@@ -18,11 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of ids, hashes and signatures that one task gathers into a file, if every core has a task.
+FILE_ROWS = 20_000
+
+
+def files_for(df: DataFrame) -> int:
+    """Files for tables of about as many rows as ``df``, which is written already and counted by its footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // FILE_ROWS))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The files survive the loss of any executor, are compressed, and later reads prune columns.
+    The files survive the loss of any executor, are compressed, and later reads prune columns.  With ``files``, small partitions
+    are gathered into so many at most.  On a local or mounted folder without Hadoop's native library each file costs the executor three processes
+    (``chmod`` of the attempt's folder, the file and its checksum), and until its program is loaded such a process counts as large as the JVM.
     """
+    if files:
+        df = df.coalesce(files)
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -35,9 +35,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def alternation(edges: DataFrame) -> DataFrame:
+def alternation(edges: DataFrame, files: int | None = None) -> DataFrame:
     """One large-star and one small-star of edges ``u, v`` (u > v); the components stay the same."""
-    return written(_small_star(_large_star(edges)).distinct(), "edges")
+    return written(_small_star(_large_star(edges)).distinct(), "edges", files)
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -47,14 +47,14 @@ def _are_stars(edges: DataFrame) -> bool:
     return chained.isEmpty()
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """Edges ``u, v`` (u > v) from each node to the smallest of its component: alternations until they are stars.
+def stars(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """Edges ``u, v`` (u > v) from each node to the smallest of its component: alternations, written to so many files, until they are stars.
 
     Stars stay as they are under both operations, and anything else changes.
     """
     given = edges
     while not _are_stars(edges):
-        last, edges = edges, alternation(edges)
+        last, edges = edges, alternation(edges, files)
         if last is not given:
             discard(last)
     return edges

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._base import discard, worker_state, written
+from eventloom.llm._base import discard, files_for, worker_state, written
 from eventloom.llm.components import oriented, spread, stars
 
 WORDS = 5
@@ -225,11 +225,11 @@ def _pivot(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*(F.col(c).alias(f"p_{c}") for c in (*names, "n", *SKETCH)))
 
 
-def _crowded(own: DataFrame) -> DataFrame:
+def _crowded(own: DataFrame, files: int) -> DataFrame:
     """``bucket, size, least, h, rep`` of each class in a bucket with two classes at least; ``least`` is the bucket's first pivot."""
     dealt = own.select(F.explode("buckets").alias("bucket"), "h", "rep")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").drop("most")
-    return written(dealt.join(spread(sizes, "bucket"), "bucket"), "crowded")
+    return written(dealt.join(spread(sizes, "bucket"), "bucket"), "crowded", files)
 
 
 def _first_pairs(crowded: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _first_pairs(crowded: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return joined.where(_alike(percent)).select(F.col("h").alias("a"), F.col("p_h").alias("b"))
 
 
-def _open(rows: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, labels: DataFrame, own: DataFrame, files: int) -> DataFrame:
     """Rows of the buckets that still hold several components, with ``level, component, n`` and the signature.
 
     Level 0 is the class with the smallest name; the others follow in levels of about 1, 2, 4, ... pivots.
@@ -248,7 +248,7 @@ def _open(rows: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
     level = F.when(F.col("h") == F.col("least"), 0).otherwise(1 + F.floor(F.log2(1 + (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size"))))
     still = labelled.join(spread(mixed, "bucket"), "bucket", "left_semi").withColumn("level", level.cast("int"))
-    return written(still.join(own.select("h", "n", *SKETCH), "h"), "open")
+    return written(still.join(own.select("h", "n", *SKETCH), "h"), "open", files)
 
 
 def _pairs(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
@@ -296,23 +296,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     documents; texts only once, to collect the sets of those that share a bucket.
     """
     features = written(shingle_features(docs, percent), "features")
-    classes = written(features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    files = files_for(features)
+    classes = written(features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps", files)
     once = features.where("not again")
     first = once.join(classes, (once["doc_id"] == classes["rep"]) & (once["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    own = written(first.select(F.col("doc_id").alias("rep"), "h", "n", *SKETCH, "buckets"), "classes")
-    crowded = _crowded(own)
+    own = written(first.select(F.col("doc_id").alias("rep"), "h", "n", *SKETCH, "buckets"), "classes", files)
+    crowded = _crowded(own, files)
     # always a merge join: the ids grow with the documents, and the plan should be the same at every size
     shared = crowded.select("rep").distinct()
     needed = docs.join(shared.hint("merge"), docs["doc_id"] == shared["rep"], "left_semi")
-    sets = written(shingle_sets(needed, percent), "sets")
+    sets = written(shingle_sets(needed, percent), "sets")  # not gathered: its tasks read texts
     links, current, low, tests, done = oriented(_repeated_ids(features, classes)), crowded, 1, FIRST_TESTS, False
     pairs = _first_pairs(crowded, own, percent)
     while True:
-        before, links = links, stars(written(oriented(confirmed(pairs, sets, percent).union(links.select("u", "v"))), "links"))
+        before, links = links, stars(written(oriented(confirmed(pairs, sets, percent).union(links.select("u", "v"))), "links", files), files)
         discard(before)
         if done:
             break
-        before, current = current, _open(current, _labels(links), own)
+        before, current = current, _open(current, _labels(links), own, files)
         discard(before)
         following = _next_levels(current, low, tests)
         if following is None:
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = features.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes, "digest", "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id")).join(_labels(links), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return rows.coalesce(files).select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from eventloom.llm import exact_dedup, near_dedup
+from eventloom.llm import _base, components, exact_dedup, near_dedup
 from eventloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, kept string, rep long"
@@ -219,3 +219,29 @@ def test_parity_sketch_never_exceeds_the_difference():
         a, b = shingler.features(x)[1], shingler.features(y)[1]
         odd = sum(int(v).bit_count() for v in (a[4:] ^ b[4:]).view(np.uint64))
         assert odd <= len(np.setxor1d(x, y))
+
+
+def test_files_follow_rows_not_partitions(spark, monkeypatch):
+    """Tables of a few hundred rows, which shuffles deal over 40 partitions, take a file a core at most."""
+    files = defaultdict(int)
+
+    def counted(df, name, *more):
+        out = _base.written(df, name, *more)
+        files[name] = max(files[name], len(out.inputFiles()))
+        return out
+
+    for module in (components, near_dedup):
+        monkeypatch.setattr(module, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        near = counted(near_dedup.near_duplicates(frame(spark, near_rows()), 80), "near").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in near} == brute_near(near_rows(), 80)[1]
+    del files["sets"]  # whose tasks read texts
+    assert files.keys() >= {"reps", "classes", "crowded", "links", "edges", "near"}
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
