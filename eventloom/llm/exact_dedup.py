@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._base import written
+from eventloom.llm._base import files_for, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -222,7 +222,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     the join back carries ids and digests only, and Spark splits a hot digest's rows.
     """
     digests = written(text_digests(docs), "digests")
-    return digests.join(build_index(digests), "digest").select(
+    return digests.join(build_index(digests), "digest").coalesce(files_for(digests)).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -242,7 +242,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     same = lambda other: F.col("doc_id").eqNullSafe(other["_id"]) & (F.col("_own_sha") == other["_sha"])
     gone = found.where("not kept").select("_id", "_sha")
     rest = marked.join(gone, same(gone), "left_anti")
-    repeated = written(found.where("kept").groupBy("_id", "_sha").count().where(F.col("count") > 1).select("_id", "_sha"), "repeated")
+    repeated = written(found.where("kept").groupBy("_id", "_sha").count().where(F.col("count") > 1).select("_id", "_sha"), "repeated", files_for(found))
     if not repeated.isEmpty():
         once = rest.join(repeated, same(repeated), "left_semi").dropDuplicates(["_own_sha"])
         rest = rest.join(repeated, same(repeated), "left_anti").unionByName(once)

@@ -230,7 +230,7 @@ def test_files_follow_rows_not_partitions(spark, monkeypatch):
         files[name] = max(files[name], len(out.inputFiles()))
         return out
 
-    for module in (components, near_dedup):
+    for module in (components, exact_dedup, near_dedup):
         monkeypatch.setattr(module, "written", counted)
     held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in held}
@@ -238,10 +238,12 @@ def test_files_follow_rows_not_partitions(spark, monkeypatch):
         for k, v in held.items():
             spark.conf.set(k, v)
         near = counted(near_dedup.near_duplicates(frame(spark, near_rows()), 80), "near").collect()
+        exact = counted(exact_dedup.exact_duplicates(frame(spark, exact_rows())), "exact").collect()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     assert {r["doc_id"]: r["component_id"] for r in near} == brute_near(near_rows(), 80)[1]
+    assert len(exact) == len(exact_rows())
     del files["sets"]  # whose tasks read texts
-    assert files.keys() >= {"reps", "classes", "crowded", "links", "edges", "near"}
+    assert files.keys() >= {"reps", "classes", "crowded", "links", "edges", "near", "exact"}
     assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
